@@ -1,0 +1 @@
+"""Deliberately empty: the capabilities rebuilt here are batch only, so there is no streaming operator to offer."""
