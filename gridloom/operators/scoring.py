@@ -142,11 +142,12 @@ def predict_requests(
     """
     base = [c for c in history.columns if c not in ("timestamp", "meter_id")]
     accepted, rejected = check_requests(requests, history)
-    latest = history.groupBy("meter_id").agg(
+    asked_for = history.join(accepted.select("meter_id").distinct(), "meter_id", "left_semi")
+    latest = asked_for.groupBy("meter_id").agg(
         F.max_by(F.struct(*base), F.col("timestamp")).alias("_last")
     )
     if recompute:
-        latest = latest.join(_next_history(history, settings), "meter_id")
+        latest = latest.join(_next_history(asked_for, settings), "meter_id")
         following = {name: F.col(f"_next.{name}") for name in features.history_names(settings)}
     else:
         following = {}
@@ -173,7 +174,15 @@ def predict_requests(
     filled = asked.join(latest, "meter_id").select(
         "timestamp", "meter_id", *[value(c).alias(c) for c in base]
     )
-    return predicted_frame(filled, forecast, settings), rejected
+    gaps = F.lit(False)
+    for name in features.history_names(settings):
+        gaps = gaps | F.col(name).isNull()
+    short = filled.where(gaps).select(
+        F.date_format("timestamp", TIMESTAMP_FORMAT).alias("timestamp"),
+        "meter_id",
+        F.lit("history too short").alias("reason"),
+    )
+    return predicted_frame(filled.where(~gaps), forecast, settings), rejected.unionByName(short)
 
 
 def _next_history(history: DataFrame, settings: Settings) -> DataFrame:
