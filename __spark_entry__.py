@@ -116,7 +116,7 @@ def _trained(ws: Workspace) -> DataFrame:
 def _fitted_predictions(ws: Workspace) -> DataFrame:
     rows = stored(features.model_rows(ws.feature_table), "model-rows")
     training = split.find_boundary(rows, DEFAULTS.test_size).in_training()
-    pipeline = models.candidates()["LinearRegression"]
+    pipeline = models.candidates(features.category_levels(rows))["LinearRegression"]
     fitted = models.FittedForecast("LinearRegression", pipeline.fit(rows.where(training)))
     return scoring.with_errors(fitted.transform(rows.where(~training)), fitted)
 
@@ -127,8 +127,15 @@ def _all_anomalies(ws: Workspace) -> DataFrame:
     )
 
 
+def _meter_fact(ws: Workspace) -> DataFrame:
+    """Ranked meters as a table: the region rank reads them several times."""
+    return stored(ws.warehouse("fact_meter_consumption"), "meters")
+
+
 def _view(name: str) -> Callable[[Workspace], DataFrame]:
     table, define = views.VIEWS[name]
+    if table == "fact_meter_consumption":
+        return lambda ws: define(_meter_fact(ws))
     return lambda ws: define(ws.warehouse(table))
 
 
@@ -215,8 +222,8 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "read_daily_meter": lambda ws: reads.read_daily(ws.warehouse(daily), "MTR-007", 30),
         "read_monthly": lambda ws: reads.read_monthly(ws.warehouse("fact_monthly_consumption")),
         "read_hourly": lambda ws: reads.read_hourly(ws.warehouse("fact_hourly_consumption")),
-        "read_meters": lambda ws: reads.read_meters(ws.warehouse("fact_meter_consumption")),
-        "read_meter": lambda ws: reads.read_meter(ws.warehouse("fact_meter_consumption"), "MTR-007"),
+        "read_meters": lambda ws: reads.read_meters(_meter_fact(ws)),
+        "read_meter": lambda ws: reads.read_meter(_meter_fact(ws), "MTR-007"),
         "read_anomalies": lambda ws: reads.read_anomalies(ws.warehouse("fact_anomalies")),
         "read_anomalies_high": lambda ws: reads.read_anomalies(
             ws.warehouse("fact_anomalies"), severity="high", limit=50

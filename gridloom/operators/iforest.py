@@ -43,8 +43,12 @@ def _depth(sample: int) -> int:
     return max(1, math.ceil(math.log2(max(sample, 2))))
 
 
-def grower(features: Sequence[str], depth: int, seed: int):
-    """A function that grows one tree; nodes are numbered like a heap, leaves have feature -1."""
+def grower(features: Sequence[str], depth: int, sample_size: int, seed: int):
+    """A function that grows one tree; nodes are numbered like a heap, leaves have feature -1.
+
+    It carries all it needs, so workers do not have to import this package.
+    """
+    unresolved = [expected_path(count) for count in range(sample_size + 1)]
 
     def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
@@ -56,7 +60,7 @@ def grower(features: Sequence[str], depth: int, seed: int):
             low, high = part.min(axis=0), part.max(axis=0)
             usable = np.flatnonzero(high > low)
             if level == depth or len(part) < 2 or not len(usable):
-                nodes.append((tree, node, -1, 0.0, level + expected_path(len(part))))
+                nodes.append((tree, node, -1, 0.0, level + unresolved[len(part)]))
                 continue
             feature = int(random.choice(usable))
             threshold = random.uniform(low[feature], high[feature])
@@ -123,7 +127,7 @@ class IsolationForest:
         depth = _depth(min(sample, known["_rows"]))
         drawn = drawn_samples(inputs, key, known["_rows"], trees, sample, settings.seed)
         grown = drawn.select("tree", "_draw", *FEATURES).groupBy("tree").applyInPandas(
-            grower(FEATURES, depth, settings.seed), NODE_SCHEMA
+            grower(FEATURES, depth, sample, settings.seed), NODE_SCHEMA
         )
         nodes = grown.toPandas()  # at most trees * (2 ** (depth + 1) - 1) rows
         shape = (trees, 2 ** (depth + 1) - 1)

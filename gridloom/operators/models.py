@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +51,17 @@ class Training:
     test_rows: DataFrame
 
 
-def encoding(settings: Settings = DEFAULTS) -> list:
+def encoding(levels: Mapping[str, Sequence[str]], settings: Settings = DEFAULTS) -> list:
     """Stages turning feature rows into a vector: numbers as they are, one slot per category level.
 
-    A level unknown at training time becomes all zeros.
+    A level that is not listed becomes all zeros.
     """
     stages, encoded = [], []
     for column in features.CATEGORICAL:
         index, slots = f"_{column}_index", f"_{column}_slots"
         stages.append(
-            StringIndexer(
-                inputCol=column, outputCol=index, stringOrderType="alphabetAsc", handleInvalid="keep"
+            StringIndexerModel.from_labels(
+                list(levels[column]), inputCol=column, outputCol=index, handleInvalid="keep"
             )
         )
         stages.append(OneHotEncoder(inputCol=index, outputCol=slots, dropLast=True))
@@ -70,7 +70,9 @@ def encoding(settings: Settings = DEFAULTS) -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def candidates(settings: Settings = DEFAULTS, sizes: ModelSizes = ModelSizes()) -> dict[str, Pipeline]:
+def candidates(
+    levels: Mapping[str, Sequence[str]], settings: Settings = DEFAULTS, sizes: ModelSizes = ModelSizes()
+) -> dict[str, Pipeline]:
     target = {"labelCol": features.TARGET, "predictionCol": PREDICTION}
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     linear = LinearRegression(featuresCol="scaled", regParam=0.0, **target)
@@ -89,7 +91,7 @@ def candidates(settings: Settings = DEFAULTS, sizes: ModelSizes = ModelSizes())
         seed=settings.seed,
         **target,
     )
-    prepared = encoding(settings)
+    prepared = encoding(levels, settings)
     return {
         "LinearRegression": Pipeline(stages=[*prepared, scaler, linear]),
         "RandomForest": Pipeline(stages=[*prepared, forest]),
@@ -108,15 +110,19 @@ def train(
     *,
     sample_rows: int | None = None,
 ) -> Training:
-    """Fit every candidate on the earlier rows, compare them on the later ones, pick by RMSE."""
+    """Fit every candidate on the earlier rows, compare them on the later ones, pick by RMSE.
+
+    Category levels come from all rows, so every run has the same columns in both parts.
+    """
     used = feature_rows if sample_rows is None else last_rows(feature_rows, sample_rows)
     complete = stored(features.model_rows(used, settings), "model-rows")
+    levels = features.category_levels(complete)
     boundary = find_boundary(complete, settings.test_size)
     training = complete.where(boundary.in_training())
     test = complete.where(~boundary.in_training())
 
     fitted, results = {}, []
-    for name, pipeline in candidates(settings, sizes).items():
+    for name, pipeline in candidates(levels, settings, sizes).items():
         fitted[name] = FittedForecast(name, pipeline.fit(training))
         scored = fitted[name].transform(test)
         found = regression_metrics(scored, features.TARGET, PREDICTION).first()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.ordering import running_total
 
+TOP_K_ROWS = 10_000
+
 
 class Boundary(NamedTuple):
     """Training rows lie before ``at``, or at ``at`` with a meter up to ``last_meter``."""
@@ -31,22 +33,41 @@ class Boundary(NamedTuple):
 def find_boundary(df: DataFrame, test_size: float) -> Boundary:
     """Cut the order (timestamp, meter) at ``int(n * (1 - test_size))`` rows.
 
-    Only counts per timestamp are put in order, in slots; within the one timestamp the cut falls
-    into, meters are ordered the same way. Two one-row answers come back to the driver.
+    Counting narrows the cut down: rows per day first, rows per timestamp of one day next, then
+    meters at one timestamp. The driver sees one number per day and at most one per second of a
+    day, however many rows there are.
     """
-    per_moment = df.groupBy("timestamp").agg(F.count(F.lit(1)).alias("_n"))
-    size = df.count()
+    when = F.col("timestamp")
+    days = _counts(df, F.to_date(when))
+    size = sum(rows for _, rows in days)
     cut = int(size * (1 - test_size))
-    upto = running_total(per_moment, [F.col("timestamp")], "_upto", weight=F.col("_n"))
-    moment = upto.where((F.col("_upto") > cut) & (F.col("_upto") - F.col("_n") <= cut)).first()
-    if moment is None:
+    day, left = _reach(days, cut)
+    if day is None:
         return Boundary(cut, size - cut, None, None)
-    wanted = cut - (moment["_upto"] - moment["_n"])
-    last = None
-    if wanted:
-        there = df.where(F.col("timestamp") == F.lit(moment["timestamp"])).select("meter_id")
-        last = running_total(there, [F.col("meter_id")], "_nth").where(F.col("_nth") == wanted).first()["meter_id"]
-    return Boundary(cut, size - cut, moment["timestamp"], last)
+    inside = df.where((when >= F.lit(day)) & (when < F.lit(day + dt.timedelta(days=1))))
+    moment, left = _reach(_counts(inside, when), left)
+    at_moment = inside.where(when == F.lit(moment)).select("meter_id")
+    return Boundary(cut, size - cut, moment, _nth_meter(at_moment, left) if left else None)
+
+
+def _counts(df: DataFrame, key: Column) -> list[tuple]:
+    return sorted(tuple(row) for row in df.groupBy(key.alias("key")).agg(F.count(F.lit(1))).collect())
+
+
+def _reach(counts: list[tuple], cut: int) -> tuple:
+    """The key in whose rows the cut falls, and how many of its rows lie before the cut."""
+    for key, rows in counts:
+        if cut < rows:
+            return key, cut
+        cut -= rows
+    return None, 0
+
+
+def _nth_meter(meters: DataFrame, nth: int) -> str:
+    """A short top-k where ``nth`` is small, distributed ranking otherwise."""
+    if nth <= TOP_K_ROWS:
+        return meters.orderBy("meter_id").limit(nth).agg(F.max("meter_id")).first()[0]
+    return running_total(meters, [F.col("meter_id")], "_nth").where(F.col("_nth") == nth).first()["meter_id"]
 
 
 def chronological_split(df: DataFrame, test_size: float) -> tuple[DataFrame, DataFrame]:
