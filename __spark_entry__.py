@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle
+from gridloom.functions.aggregates import settled
 from gridloom.functions.shared import fresh_path, stored
 from gridloom.operators import (
     anomaly,
@@ -45,7 +46,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _round(df: DataFrame, names: list[str], digits: int) -> DataFrame:
     """Digits two engines agree on for means, deviations and waves."""
-    return df.withColumns({name: F.round(name, digits) for name in names})
+    return df.withColumns({name: settled(name, digits) for name in names})
 
 
 def _csv_readings(ws: Workspace) -> DataFrame:

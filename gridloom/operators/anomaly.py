@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.aggregates import settled
 from gridloom.settings import DEFAULTS, MAD_SCALE, Settings
 
 VALUE = "energy_consumption"
@@ -54,7 +55,7 @@ def _judged(scored: DataFrame, settings: Settings) -> DataFrame:
         "timestamp",
         "meter_id",
         VALUE,
-        F.round(score, 4).alias("anomaly_score"),
+        settled(score, 4).alias("anomaly_score"),
         flagged.cast("int").alias("anomaly_flag"),
         kind.alias("anomaly_type"),
         F.lit("robust_zscore").alias("detection_method"),

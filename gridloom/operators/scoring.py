@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.functions.aggregates import mean, rows
+from gridloom.functions.aggregates import mean, rows, settled
 from gridloom.operators import features
 from gridloom.operators.split import find_boundary
 from gridloom.settings import DEFAULTS, TIMESTAMP_FORMAT, Settings
@@ -51,7 +51,7 @@ def with_errors(scored: DataFrame, forecast: Forecast, settings: Settings = DEFA
     )
     relative = F.try_divide(100.0 * F.abs("prediction_error"), F.col("actual_consumption"))
     return values.withColumn(
-        "abs_percentage_error", F.coalesce(F.round(relative, 4), F.lit(0.0))
+        "abs_percentage_error", F.coalesce(settled(relative, 4), F.lit(0.0))
     ).select("*", *_tags(forecast, settings))
 
 

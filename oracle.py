@@ -11,15 +11,16 @@ from gridloom.sources import warehouse
 
 
 def rnd(x: str, digits: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
 def mean(x: str) -> str:
-    return f"(CAST(CAST(sum({x}) AS DECIMAL(38,8)) AS DOUBLE) / count({x}))"
+    quotient = f"CAST(CAST(sum({x}) AS DECIMAL(38,8)) AS DOUBLE) / count({x})"
+    return f"CAST(CAST({quotient} AS DECIMAL(38,10)) AS DOUBLE)"
 
 
 def total(x: str, digits: int = 4) -> str:
-    return rnd(f"sum({x})", digits)
+    return f"CAST(round(CAST(sum({x}) AS DECIMAL(38,8)), {digits}) AS DOUBLE)"
 
 
 def rmean(x: str, digits: int = 4) -> str:
