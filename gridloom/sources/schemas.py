@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
 
-def _schema(fields: str) -> T.StructType:
-    return T.StructType.fromDDL(fields)
+
+def _schema(columns: str) -> T.StructType:
+    """``name type, name type`` with every column nullable; needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in pairs])
 
 
 # Column names, types and order of the three CSV feeds.
