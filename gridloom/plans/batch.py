@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.functions.shared import discard_stored
 from gridloom.operators import anomaly, features, gold, iforest, models, profile, quality, scoring, silver, widefact
 from gridloom.plans.session import session
 from gridloom.settings import DEFAULTS, Settings
@@ -173,6 +174,7 @@ def main() -> None:
     done = run_batch(
         session(), given.base, strict=given.strict, train=not given.skip_train, database=given.database
     )
+    discard_stored(session())
     print(json.dumps(done, indent=2, default=str))
 
 

@@ -71,6 +71,15 @@ def test_samples_have_the_exact_size(workspace):
     assert [r["count"] for r in whole.groupBy("tree").count().collect()] == [rows] * 2
 
 
+def test_large_inputs_draw_from_a_pool(workspace, monkeypatch):
+    monkeypatch.setattr(iforest, "POOL_ROWS", 600)
+    key = ["meter_id", "timestamp"]
+    drawn = iforest.drawn_samples(workspace.silver, key, workspace.silver.count(), 20, 100, 42).cache()
+    assert [r["count"] for r in drawn.groupBy("tree").count().collect()] == [100] * 20
+    assert drawn.select(*key).distinct().count() < 700
+    drawn.unpersist()
+
+
 def test_both_detectors_together(workspace):
     together = anomaly.combined(
         anomaly.zscore_anomalies(workspace.silver),

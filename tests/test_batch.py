@@ -77,6 +77,14 @@ def test_strict_stops_before_publishing(spark, base, tmp_path):
     assert not os.path.exists(f"{tmp_path}/bronze")
 
 
+def test_a_day_is_written_in_few_files(base, summary):
+    for layer, day in (("bronze", "event_date="), ("silver", "date=")):
+        folder = f"{base}/{layer}/energy_readings"
+        days = [name for name in os.listdir(folder) if name.startswith(day)]
+        files = [n for name in days for n in os.listdir(f"{folder}/{name}") if n.endswith(".parquet")]
+        assert len(files) <= 2 * len(days)
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.range(5)
