@@ -125,8 +125,10 @@ def feature_matrix(
 
 def category_levels(df: DataFrame, limit: int = 200) -> dict[str, list[str]]:
     """Distinct values per category, refused beyond ``limit`` because each becomes a column."""
-    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in CATEGORICAL]).first()
+    found = {}
     for column in CATEGORICAL:
+        distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
+        found[column] = sorted(row[0] for row in distinct.limit(limit + 1).collect())
         if len(found[column]) > limit:
             raise ValueError(f"{column} has more than {limit} levels")
-    return {column: list(found[column]) for column in CATEGORICAL}
+    return found

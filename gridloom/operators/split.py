@@ -33,9 +33,9 @@ class Boundary(NamedTuple):
 def find_boundary(df: DataFrame, test_size: float) -> Boundary:
     """Cut the order (timestamp, meter) at ``int(n * (1 - test_size))`` rows.
 
-    Counting narrows the cut down: rows per day first, rows per timestamp of one day next, then
-    meters at one timestamp. The driver sees one number per day and at most one per second of a
-    day, however many rows there are.
+    Counting narrows the cut down: rows per day first, rows per second of one day next, then the
+    rows of one second in order. The driver sees one number per day and at most one per second of
+    a day, however many rows there are.
     """
     when = F.col("timestamp")
     days = _counts(df, F.to_date(when))
@@ -45,9 +45,11 @@ def find_boundary(df: DataFrame, test_size: float) -> Boundary:
     if day is None:
         return Boundary(cut, size - cut, None, None)
     inside = df.where((when >= F.lit(day)) & (when < F.lit(day + dt.timedelta(days=1))))
-    moment, left = _reach(_counts(inside, when), left)
-    at_moment = inside.where(when == F.lit(moment)).select("meter_id")
-    return Boundary(cut, size - cut, moment, _nth_meter(at_moment, left) if left else None)
+    second, left = _reach(_counts(inside, F.date_trunc("second", when)), left)
+    if not left:
+        return Boundary(cut, size - cut, second, None)
+    there = inside.where((when >= F.lit(second)) & (when < F.lit(second + dt.timedelta(seconds=1))))
+    return Boundary(cut, size - cut, *_nth_row(there, left))
 
 
 def _counts(df: DataFrame, key: Column) -> list[tuple]:
@@ -63,11 +65,15 @@ def _reach(counts: list[tuple], cut: int) -> tuple:
     return None, 0
 
 
-def _nth_meter(meters: DataFrame, nth: int) -> str:
+def _nth_row(df: DataFrame, nth: int) -> tuple[dt.datetime, str]:
     """A short top-k where ``nth`` is small, distributed ranking otherwise."""
+    keys = df.select("timestamp", "meter_id")
     if nth <= TOP_K_ROWS:
-        return meters.orderBy("meter_id").limit(nth).agg(F.max("meter_id")).first()[0]
-    return running_total(meters, [F.col("meter_id")], "_nth").where(F.col("_nth") == nth).first()["meter_id"]
+        first = keys.orderBy("timestamp", "meter_id").limit(nth)
+        return tuple(first.agg(F.max(F.struct("timestamp", "meter_id"))).first()[0])
+    ranked = running_total(keys, [F.col("timestamp"), F.col("meter_id")], "_nth")
+    found = ranked.where(F.col("_nth") == nth).first()
+    return found["timestamp"], found["meter_id"]
 
 
 def chronological_split(df: DataFrame, test_size: float) -> tuple[DataFrame, DataFrame]:

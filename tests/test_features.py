@@ -94,7 +94,10 @@ def test_matrix_has_every_level_once(workspace):
 @pytest.mark.parametrize("test_size", [0.2, 0.25, 0.5, 0.0, 1.0])
 def test_split_equals_sorting_everything(spark, test_size):
     rng = random.Random(8)
-    keys = {(dt.datetime(2023, 1, 1 + rng.randrange(3), rng.randrange(24)), f"MTR-{rng.randrange(40):03d}") for _ in range(700)}
+    keys = {
+        (dt.datetime(2023, 1, 1 + rng.randrange(3), rng.randrange(24), 0, 0, rng.choice([0, 0, 250])), f"MTR-{rng.randrange(40):03d}")
+        for _ in range(700)
+    }
     df = spark.createDataFrame(sorted(keys, key=lambda k: rng.random()), "timestamp timestamp, meter_id string")
     train, test = split.chronological_split(df, test_size)
     ordered = sorted(keys)
@@ -109,6 +112,7 @@ def test_split_with_all_rows_at_one_moment(spark, monkeypatch):
     df = spark.createDataFrame(rows, "timestamp timestamp, meter_id string")
     boundary = split.find_boundary(df, 0.2)
     assert (boundary.train_rows, boundary.test_rows, boundary.last_meter) == (160, 40, "MTR-159")
+    assert df.where(boundary.in_training()).count() == 160
 
 
 def test_settings_drive_the_columns(spark):
