@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle
 from gridloom.functions.aggregates import settled
 from gridloom.functions.shared import fresh_path, stored
 from gridloom.operators import (
@@ -28,6 +27,7 @@ from gridloom.operators import (
     views,
     widefact,
 )
+from gridloom.plans import expected
 from gridloom.plans.workspace import Workspace
 from gridloom.settings import DEFAULTS, TIMESTAMP_FORMAT
 from gridloom.sources import bundled, feeds, warehouse
@@ -56,7 +56,7 @@ def _csv_readings(ws: Workspace) -> DataFrame:
 
 
 def _matrix(ws: Workspace) -> DataFrame:
-    matrix = features.feature_matrix(ws.features, oracle.LEVELS)
+    matrix = features.feature_matrix(ws.features, expected.LEVELS)
     rounded = _round(matrix, [*features.NUMERIC, *features.history_names()], 6)
     return _round(rounded, CYCLES, 9)
 
@@ -93,6 +93,10 @@ def _warehouse_tables(ws: Workspace) -> dict[str, DataFrame]:
     return {name: ws.warehouse(name) for name in constraints.RULES}
 
 
+def _summary(ws: Workspace) -> DataFrame:
+    return reads.read_summary(ws.warehouse("fact_daily_consumption"), ws.warehouse("fact_anomalies"))
+
+
 def _relationships(ws: Workspace) -> DataFrame:
     names = {name for link in constraints.RELATIONSHIPS for name in (link.many[0], link.one[0])}
     return constraints.check_relationships({name: ws.gold(name) for name in names})
@@ -216,9 +220,7 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "calc_columns_dim_date": lambda ws: widefact.labelled_dates(gold.dim_date(ws.silver)),
         "calc_columns_predictions": lambda ws: widefact.labelled_predictions(ws.predictions),
         # reads
-        "read_summary": lambda ws: (
-            lambda s: reads.read_summary(s.warehouse(daily), s.warehouse("fact_anomalies"))
-        )(ws.shared),
+        "read_summary": lambda ws: _summary(ws.shared),
         "read_daily": lambda ws: reads.read_daily(ws.warehouse(daily)),
         "read_daily_meter": lambda ws: reads.read_daily(ws.warehouse(daily), "MTR-007", 30),
         "read_monthly": lambda ws: reads.read_monthly(ws.warehouse("fact_monthly_consumption")),
@@ -257,11 +259,9 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "rep_high_periods": lambda ws: reports.high_consumption_periods(ws.shared.wide_fact),
         # warehouse checks
         "wh_constraints": lambda ws: constraints.check_constraints(_warehouse_tables(ws.shared)),
-        "fk_orphans": lambda ws: (
-            lambda s: constraints.orphans(
-                s.warehouse(daily), "meter_id", s.warehouse("dim_meter"), "meter_id"
-            )
-        )(ws),
+        "fk_orphans": lambda ws: constraints.orphans(
+            ws.warehouse(daily), "meter_id", ws.warehouse("dim_meter"), "meter_id"
+        ),
         "rel_check": lambda ws: _relationships(ws.shared),
         "wh_fact_predictions": lambda ws: ws.warehouse("fact_predictions"),
     }
@@ -283,4 +283,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return expected.statements()
