@@ -32,6 +32,15 @@ from gridloom.plans.workspace import Workspace
 from gridloom.settings import DEFAULTS, TIMESTAMP_FORMAT
 from gridloom.sources import bundled, feeds, warehouse
 
+try:
+    from gridloom.llm import queries as corpus
+except ImportError:  # the subpackage may be absent
+    corpus = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 LAGS = ["lag_1h", "lag_2h", "lag_3h", "lag_24h"]
 ROLLING = [name for name in features.history_names() if name not in LAGS]
@@ -279,8 +288,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(make: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: make(Workspace(spark, folder))
 
-    return {name: bound(make) for name, make in _registered().items()}
+    found = {name: bound(make) for name, make in _registered().items()}
+    if corpus:
+        found |= corpus.QUERIES
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return expected.statements()
+    found = expected.statements()
+    if corpus:
+        found |= corpus.EXPECTED
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
