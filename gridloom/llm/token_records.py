@@ -41,7 +41,7 @@ from gridloom.llm.word_encoder import default_tokenizer, encoder
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
 INDEX = "file_no int, file string, doc_id long, position long, bytes long, n_tokens long"
-RESULT = "file_no int, doc_id long, before long, n_tokens long, ids_crc32 long"
+RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -131,8 +131,8 @@ def read_records(spark: SparkSession, folder: str, tokenizer_vocabulary: int | N
 
         store, root = fs.FileSystem.from_uri(f"{folder}/data")
         for batch in batches:
-            for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, before, lengths, sums, total = [], [], [], [], 0
+            for name, total in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, before, lengths, sums = [], [], [], []
                 with store.open_input_stream(f"{root}/{name}", buffer_size=1 << 20) as stream:
                     for body in unframed(stream):
                         ids = np.frombuffer(body, kind, offset=8)
@@ -142,20 +142,15 @@ def read_records(spark: SparkSession, folder: str, tokenizer_vocabulary: int | N
                         sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                         total += len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(keys), pa.int32()), *(pa.array(c, pa.int64()) for c in (keys, before, lengths, sums))],
+                    [pa.array(c, pa.int64()) for c in (keys, before, lengths, sums)],
                     names=[f.split()[0] for f in RESULT.split(", ")],
                 )
 
-    bases = files.select(
-        "file_no",
-        F.coalesce(
-            F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("base"),
-    )
-    found = files.select("file_no", "file").repartition("file").mapInArrow(read, RESULT)
-    return found.join(bases, "file_no").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    earlier = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    based = files.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    # A number of its own: sizes of file names must not decide how few tasks read the files.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return based.repartition(tasks, "file").mapInArrow(read, RESULT)
 
 
 def fetch(index_rows: DataFrame, folder: str, vocabulary: int) -> DataFrame:
