@@ -19,5 +19,6 @@ def documents(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def lowered(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z in lower case, every other character as it is; the fast way where a text is all ASCII."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
