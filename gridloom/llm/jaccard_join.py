@@ -10,11 +10,11 @@ A document is the set of its distinct word shingles; two link when ``100 * inter
 * **Prefixes.** Of n shingles in that order, two linked sets share one among their first ``n - ceil(n * percent / 100) + 1``.
   Shingles that only one document has can't be shared; documents whose prefix has no other are done.
 * **Groups.** Nodes of the same size with the same prefix form a group, which is posted once per shingle of its
-  prefix. Pairs of groups are filtered by size and by the places of the shared shingle, then expanded to nodes
+  prefix. Pairs of groups are filtered by size and by how many shingles their prefixes share, then expanded to nodes
   and verified on their whole sets.
 * **Links, not pairs.** A shingle's posting list can be as long as a group of near copies, so first every node is verified
-  against ``STARS`` pivots of each list only, and against the first node of its group. Then only pairs in different components
-  are left to be verified, found by joining a list's nodes outside its largest component with the rest of the list. No
+  against ``STARS`` pivots of each list only, and against the first node of its group. For ``TURNS`` rounds, nodes outside the
+  largest component of a list are verified against a few inside it. Then only pairs in different components are left to be verified, found by joining a list's nodes outside its largest component with the rest of the list. No
   pair of different components is left out, so the components are exact.
 
 The text is shuffled once, into chunks of about ``CHUNK_BYTES``; both passes over it read the same shuffle files. Lists,
@@ -45,6 +45,8 @@ from gridloom.llm.word_encoder import slices
 WORDS = 5
 PERCENT = 75
 STARS = 2  # pivots of each posting list that its nodes are verified against first
+TURNS = 2  # rounds in which nodes outside a list's largest component are verified against some inside it
+TRIES = 12  # partners of a group in each of those rounds
 CHUNK_BYTES = 10 << 20
 CUT = 24  # low bits left out where frequencies are counted
 PLANES = 5  # bytes that hold a 40-bit difference
@@ -255,14 +257,14 @@ def _fits(one: str, other: str, percent: int):
     return small * 100 >= large * percent
 
 
-def _room(a: str, b: str, percent: int):
-    """Whether the places of a shared shingle leave enough for the overlap that a link needs.
+def _enough(shared: str, one: str, other: str, percent: int):
+    """Whether two sets with ``shared`` common shingles in their prefixes can have the overlap that a link needs.
 
-    A pair whose first shared shingle lies too far back is no link. Where this is not the first one, an earlier
-    shingle of the pair decides, so the filter loses nothing.
+    Take the set whose prefix ends first in the global order: its prefix meets the other set in the other's prefix only, so
+    the overlap is at most the shared shingles and all behind that prefix.
     """
-    left = 1 + F.least(F.col(f"{a}n") - F.col(f"{a}place") - 1, F.col(f"{b}n") - F.col(f"{b}place") - 1)
-    return left * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
+    behind = [F.ceil(F.col(n) * percent / 100) - 1 for n in (one, other)]
+    return (F.col(shared) + F.greatest(*behind)) * (100 + percent) >= (F.col(one) + F.col(other)) * percent
 
 
 def _stars(posts: DataFrame, members: DataFrame, heads: DataFrame, stars: int, percent: int) -> DataFrame:
@@ -295,30 +297,81 @@ def _stars(posts: DataFrame, members: DataFrame, heads: DataFrame, stars: int, p
     return pairs.distinct()
 
 
-def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes that share a posted shingle, may be similar, and are in different components."""
-    named = members.join(labels, "node", "left").select(
-        "grp", "node", F.coalesce("root", "node").alias("root")
+def _contested(posts: DataFrame, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the lists where several components meet, each with its largest (``top``).
+
+    A group within one component is one entry of a list.
+    """
+    named = stored(
+        members.join(labels, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")),
+        "named-members",
     )
-    named = stored(named, "named-members")
-    # Lists where more than one component meets; a group within one component is one entry of a list.
     held = stored(posts.join(named.select("grp", "root").distinct(), "grp"), "held")
     most = held.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(
         F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top")
     )
     open_lists = stored(most.where("roots > 1").select("token", F.col("top.root").alias("top")), "open-lists")
-    contested = stored(held.join(open_lists, "token"), "contested")
-    a = contested.where("root != top").select(
-        "token", F.col("grp").alias("ag"), F.col("root").alias("ar"), F.col("n").alias("an"), F.col("place").alias("aplace")
+    return named, stored(held.join(open_lists, "token"), "contested")
+
+
+def _expanded(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs of groups with the components meant, as pairs of their nodes."""
+    left = named.select(F.col("grp").alias("ag"), F.col("root").alias("ar"), F.col("node").alias("u"))
+    right = named.select(F.col("grp").alias("bg"), F.col("root").alias("br"), F.col("node").alias("v"))
+    expanded = pairs.join(left, ["ag", "ar"]).join(right, ["bg", "br"])
+    return expanded.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _side(contested: DataFrame, name: str, *more: str) -> DataFrame:
+    return contested.select(
+        "token", F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"), *more
     )
-    b = contested.select(
-        "token", F.col("grp").alias("bg"), F.col("root").alias("br"), F.col("n").alias("bn"), F.col("place").alias("bplace")
+
+
+def _towards_largest(
+    posts: DataFrame, members: DataFrame, labels: DataFrame, percent: int, turn: int
+) -> DataFrame:
+    """Each group outside the largest component of its lists with a few groups inside it, others in every turn.
+
+    A group gets the ``TRIES`` partners it shares most lists with, so pairs grow with groups.
+    """
+    named, contested = _contested(posts, members, labels)
+    inside = contested.where("root = top")
+    picks = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "grp"), "grp", "root", "n")) for k in range(TRIES)]
+    chosen = inside.groupBy("token").agg(*(p.alias(f"p{k}") for k, p in enumerate(picks)))
+    chosen = stored(
+        chosen.select("token", F.explode(F.array(*(f"p{k}" for k in range(TRIES)))).alias("p")).select(
+            "token", F.col("p.grp").alias("bg"), F.col("p.root").alias("br"), F.col("p.n").alias("bn")
+        ).distinct(),
+        "inside-pivots",
     )
     met = (
-        a.join(b, "token")
-        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent) & _room("a", "b", percent))
-        .select("ag", "ar", "bg", "br")
-        .distinct()
+        _side(contested.where("root != top"), "a")
+        .join(chosen, "token")
+        .where(_fits("an", "bn", percent))
+        .groupBy("ag", "ar", "bg", "br")
+        .agg(F.count("*").alias("shared"))
+    )
+    rank = F.row_number().over(Window.partitionBy("ag", "ar").orderBy(F.desc("shared"), "bg", "br"))
+    best = stored(met.withColumn("rank", rank).where(F.col("rank") <= TRIES).select("ag", "ar", "bg", "br"), "towards")
+    return _expanded(best, named)
+
+
+def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes that share a posted shingle, may be similar, and are in different components."""
+    named, contested = _contested(posts, members, labels)
+    one = F.struct("ag", "ar", "an", "bg", "br", "bn")
+    other = F.struct(*(F.col(x).alias(y) for x, y in zip(("bg", "br", "bn", "ag", "ar", "an"), ("ag", "ar", "an", "bg", "br", "bn"), strict=True)))
+    met = (
+        _side(contested.where("root != top"), "a")
+        .join(_side(contested, "b", "top"), "token")
+        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent))
+        .where((F.col("br") == F.col("top")) | (F.col("ag") < F.col("bg")))  # a pair once a list
+        .select(F.when(F.col("ag") < F.col("bg"), one).otherwise(other).alias("p"))
+        .groupBy("p")
+        .agg(F.count("*").alias("shared"))
+        .where(_enough("shared", "p.an", "p.bn", percent))
+        .select("p.ag", "p.ar", "p.bg", "p.br")
     )
     # Nodes of one group in different components share their whole prefix.
     inside = named.select(F.col("grp").alias("ag"), F.col("root").alias("ar")).distinct()
@@ -326,15 +379,11 @@ def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent:
     apart = inside.join(split, "ag").where("ar != top").select("ag", "ar").join(
         inside.select("ag", F.col("ar").alias("br")), "ag"
     ).where("ar != br").select("ag", "ar", F.col("ag").alias("bg"), "br")
-    pairs = stored(met.union(apart), "group-pairs")
-    left = named.select(F.col("grp").alias("ag"), F.col("root").alias("ar"), F.col("node").alias("u"))
-    right = named.select(F.col("grp").alias("bg"), F.col("root").alias("br"), F.col("node").alias("v"))
-    expanded = pairs.join(left, ["ag", "ar"]).join(right, ["bg", "br"])
-    return expanded.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return _expanded(stored(met.union(apart), "group-pairs"), named)
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS, turns: int = TURNS
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     found = postings(docs, words, percent)
@@ -347,6 +396,12 @@ def near_duplicates(
     heads = stored(members.groupBy("grp").agg(F.min("node").alias("head")), "heads")
     links = stored(_verified(_stars(posts, members, heads, stars, percent), nodes, percent), "star-links")
     labels = stored(components(links), "labels")
+    for turn in range(turns):
+        more = stored(_verified(_towards_largest(posts, members, labels, percent, turn), nodes, percent), "more-links")
+        if not more.take(1):
+            break
+        links = links.union(more)
+        labels = stored(components(links), "labels")
     rest = stored(_verified(_remaining(posts, members, labels, percent), nodes, percent), "rest-links")
     if rest.take(1):
         labels = stored(components(links.union(rest)), "labels")
