@@ -97,21 +97,21 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, key: KeyHash = F
     found = stored(index(stored(entries(docs, key), "entries"), capacity), "hash-index")
     probe = keyed(docs, key).select("doc_id", "key", F.sha2("normal", 256).alias("text_sha256"))
     hits = probe.join(found, ["key", "text_sha256"])
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "key", "text_sha256").orderBy("keep_id"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (repeat == 1)
+    # By doc_id alone, so that the join above stays in a stage of its own, where a hot text can be split.
+    entry = F.struct("key", "text_sha256")
+    before = F.lag(entry).over(Window.partitionBy("doc_id").orderBy("key", "text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~before.eqNullSafe(entry)
     return hits.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "key")
 
 
 def without_duplicates(docs: DataFrame, capacity: int = CAPACITY, key: KeyHash = F.xxhash64) -> DataFrame:
     """The kept rows with all their columns."""
-    kept = stored(exact_duplicates(docs, capacity, key).where("kept").select("doc_id", "key"), "kept")
-    mine = docs.withColumn("__key", key(lowered(F.coalesce(F.col("text"), F.lit("")))))
+    kept = stored(exact_duplicates(docs, capacity, key).where("kept").select(F.col("doc_id").alias("__id"), "text_sha256"), "kept")
+    mine = docs.withColumn("__sha", F.sha2(lowered(F.coalesce(F.col("text"), F.lit(""))), 256))
     hits = mine.join(
-        kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (mine["__key"] == F.col("__key")),
-        "left_semi",
+        kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == kept["text_sha256"]), "left_semi"
     )
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("text"))
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy("text"))
     return hits.withColumn("__repeat", repeat).where("__repeat = 1").select(*docs.columns)
 
 
