@@ -19,7 +19,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
@@ -30,6 +30,7 @@ BLOCK_BITS = 8  # a block has the rows of 256 ids
 RUN_BITS = 12  # a run has 4096 blocks
 SPLITS = 4  # partitions of the text for each shuffle partition of the session: keeps the word counts of a task in memory
 LOWEST = -(1 << 62)
+FACTS = 2  # in place of a side: a row about the document itself
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -49,10 +50,13 @@ def draw(word_hash: Column, log_weight: Column, k: int) -> Column:
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    place = F.coalesce("doc_id", F.lit(LOWEST))
-    return documents(docs).select(
-        "doc_id", "text", place.alias("place"), F.shiftright(place, BLOCK_BITS).alias("block")
-    )
+    block = F.shiftright(F.coalesce("doc_id", F.lit(LOWEST)), BLOCK_BITS)
+    return documents(docs).withColumn("block", block)
+
+
+def _order() -> WindowSpec:
+    """Descending doc_id within a block, null last, ties by text."""
+    return Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
 
 
 def _after(blocks: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def _after(blocks: DataFrame) -> DataFrame:
 def _followed(docs: DataFrame, firsts: DataFrame, partitions: int) -> DataFrame:
     """Every row with its number in its block, its follower's place, its own text and the edited one."""
     rows = _ordered(docs).repartition(partitions, "block")
-    order = Window.partitionBy("block").orderBy(F.desc("place"), "text")
+    order = _order()
     rows = rows.select(
         "*", F.row_number().over(order).alias("number"), F.lead("text").over(order).alias("below")
     ).join(firsts, "block")
@@ -94,51 +98,54 @@ def _signatures(rows: DataFrame, samples: int) -> DataFrame:
         "block", "number", "side", F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("lw")
     )
     least = [F.min(draw(F.col("h"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)]
-    return weighted.groupBy("block", "number", "side").agg(*least)
+    drawn = weighted.groupBy("block", "number", "side").agg(*least)
+    # 32 bits of each sample are enough to tell samples apart.
+    bits = [F.shiftright(F.xxhash64(f"s{k}"), 32).cast("int") for k in range(samples)]
+    return drawn.select("block", "number", "side", F.array(*bits).alias("signature"))
 
 
-def _text_of(signature: list[Column]) -> Column:
-    parts = [F.lpad(F.lower(F.hex(F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for s in signature]
-    return F.when(signature[0].isNull(), "").otherwise(F.concat(*parts))
+def _text_of(signature: Column) -> Column:
+    shown = F.transform(signature, lambda s: F.lpad(F.lower(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    return F.coalesce(F.array_join(shown, ""), F.lit(""))
 
 
-def _alike(one: list[Column], other: list[Column]) -> Column:
-    same = sum((F.when(a.eqNullSafe(b), 1).otherwise(0) for a, b in zip(one, other, strict=True)), F.lit(0))
-    return same / F.lit(float(len(one)))
+def _alike(one: Column, other: Column, samples: int) -> Column:
+    same = F.size(F.filter(F.zip_with(one, other, lambda a, b: a == b), lambda equal: equal)) / F.lit(float(samples))
+    return F.when(one.isNull() & other.isNull(), 1.0).when(one.isNull() | other.isNull(), 0.0).otherwise(same)
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     partitions = SPLITS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = Window.partitionBy("block").orderBy(F.desc("place"), "text")
-    first = _ordered(docs).withColumn("number", F.row_number().over(order)).where("number = 1").select("block", "text")
+    first = _ordered(docs).withColumn("number", F.row_number().over(_order())).where("number = 1").select("block", "text")
     first = stored(first, "first-rows")
     firsts = stored(
         _after(first.select("block")).join(first.toDF("after", "after_text"), "after"), "after-blocks"
     )
     rows = _followed(docs, firsts, partitions)
-    drawn = stored(_signatures(rows, samples), "signatures")
     facts = rows.select(
-        "doc_id", "block", "number", "next_block", "next_number",
+        "block", "number", F.lit(FACTS).alias("side"), "doc_id", "next_block", "next_number",
         F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
     )
+    # One job for both, so that they read the same shuffle of the text.
+    made = stored(_signatures(rows, samples).unionByName(facts, allowMissingColumns=True), "signatures")
 
     def side(which: int, name: str, *keys: str) -> DataFrame:
-        columns = [F.col(f"s{k}").alias(f"{name}{k}") for k in range(samples)]
-        return drawn.where(F.col("side") == which).select(
-            *(F.col(c).alias(k) for c, k in zip(("block", "number"), keys, strict=True)), *columns
+        return made.where(F.col("side") == which).select(
+            *(F.col(c).alias(k) for c, k in zip(("block", "number"), keys, strict=True)), F.col("signature").alias(name)
         )
 
     joined = (
-        facts.join(side(0, "own", "block", "number"), ["block", "number"], "left")
+        made.where(F.col("side") == FACTS).drop("side", "signature")
+        .join(side(0, "own", "block", "number"), ["block", "number"], "left")
         .join(side(1, "edit", "block", "number"), ["block", "number"], "left")
-        .join(side(0, "next", "next_block", "next_number"), ["next_block", "next_number"], "left")
-    )
-    own, edit, below = ([F.col(f"{n}{k}") for k in range(samples)] for n in ("own", "edit", "next"))
+        .join(side(0, "below", "next_block", "next_number"), ["next_block", "next_number"], "left")
+    )
+    own, edit, below = F.col("own"), F.col("edit"), F.col("below")
     return joined.select(
         "doc_id", "n_chars", "edited_sha256",
         _text_of(own).alias("fingerprint"), _text_of(edit).alias("edited_fingerprint"),
-        _alike(own, edit).alias("near_edited"), _alike(own, below).alias("near_next"),
+        _alike(own, edit, samples).alias("near_edited"), _alike(own, below, samples).alias("near_next"),
     )
 
 
