@@ -41,6 +41,7 @@ THRESHOLD = 0.3
 GOLD = 0.97
 UNKNOWN = -2.0  # score of everything, as log odds, where no label is usable
 SUPPORT = 5  # toxic documents of the sample that a term needs
+MARGIN = 30  # how much likelier a term is in toxic documents than in others
 BEGINNINGS = (4, 5, 6)
 WORD_LISTS, BEGINNING_LISTS = 4, 3
 VOTERS = WORD_LISTS + BEGINNING_LISTS + 3
@@ -154,7 +155,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 
 def lexicon(sample: DataFrame, support: int = SUPPORT) -> dict[str, int]:
-    """Terms at least twice as likely in toxic documents by a margin that chance does not reach, and their places.
+    """Terms ``MARGIN`` times as likely in toxic documents, by more than chance explains, and their places.
 
     Every term needs ``support`` toxic documents of the sample, so the sample's bound is the lexicon's.
     """
@@ -167,7 +168,7 @@ def lexicon(sample: DataFrame, support: int = SUPPORT) -> dict[str, int]:
     other = (F.col("clean") + 0.5) / (clean + 1)
     both = (F.col("toxic") + F.col("clean") + 1) / F.lit(float(toxic + clean + 2))
     z = (share - other) / F.sqrt(both * (1 - both) * (1 / (toxic + 1) + 1 / (clean + 1)))
-    found = totals.where((F.col("toxic") >= support) & (share > 4 * other) & (z > 5)).select("term").collect()
+    found = totals.where((F.col("toxic") >= support) & (share > MARGIN * other) & (z > 5)).select("term").collect()
     return {t: k for k, t in enumerate(sorted(r[0] for r in found))}
 
 
