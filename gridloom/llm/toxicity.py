@@ -117,7 +117,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = gold.count()
     share = min(1.0, sample / known) if known else 1.0
     drawn = gold.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return stored(documents(docs).join(drawn, "doc_id"), "toxicity-sample")
+    # At most about ``sample`` pairs of numbers: they go to the documents, which stay where they are.
+    return documents(docs).join(F.broadcast(stored(drawn, "toxicity-sample")), "doc_id")
 
 
 def held_out(key):
@@ -300,18 +301,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
     return Model(places, *_fit([(r["terms"], r["votes"]) for r in held], odds / (1 + odds), count, len(places)))
 
 
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    lists = np.array([term_list(t) for t in model.terms], np.int64)
+    logits = []
+    for hits in _per_document(texts, model.terms):
+        votes = _bits(np.array([_votes(lists, *hits)], np.int64))[0]
+        logits.append(model.bias + float(model.weights[np.unique(hits[0])].sum()) + float(votes @ model.extra))
+    return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row."""
-    places, lists = model.terms, np.array([term_list(t) for t in model.terms], np.int64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for hits in _per_document(batch.column(1), places):
-                votes = _bits(np.array([_votes(lists, *hits)], np.int64))[0]
-                found.append(model.bias + float(model.weights[np.unique(hits[0])].sum()) + float(votes @ model.extra))
-            value = 1 / (1 + np.exp(-np.clip(np.array(found, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["doc_id", "score"])
+            value = pa.array(scores(batch.column(1), model))
+            yield pa.RecordBatch.from_arrays([batch.column(0), value], names=["doc_id", "score"])
 
     mine = documents(docs)
     kind = mine.schema["doc_id"].dataType.simpleString()
@@ -324,10 +329,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows not predicted toxic, with all their columns."""
+    """The rows not predicted toxic, with all their columns; they are filtered where they are."""
     model = train(docs, labels)
-    found = stored(scored(docs, model, threshold).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct(), "toxic")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.coalesce(batch.column("text"), pa.scalar("", batch.column("text").type))
+            yield batch.filter(pa.array(scores(texts, model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
