@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import settled
@@ -27,10 +28,10 @@ from gridloom.operators import (
     views,
     widefact,
 )
-from gridloom.plans import expected
+from gridloom.plans import batch, expected
 from gridloom.plans.workspace import Workspace
 from gridloom.settings import DEFAULTS, TIMESTAMP_FORMAT
-from gridloom.sources import bundled, feeds, warehouse
+from gridloom.sources import bundled, feeds, layers, warehouse
 
 try:
     from gridloom.llm import queries as corpus
@@ -45,7 +46,6 @@ SMOKE_FOLDER = "/root/testdata/sf0.001"
 LAGS = ["lag_1h", "lag_2h", "lag_3h", "lag_24h"]
 ROLLING = [name for name in features.history_names() if name not in LAGS]
 CYCLES = [f"{prefix}_{wave}" for prefix in features.CYCLES for wave in ("sin", "cos")]
-TREE_SIZES = models.ModelSizes(forest_trees=20, forest_depth=8, boosting_rounds=20)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -65,7 +65,8 @@ def _csv_readings(ws: Workspace) -> DataFrame:
 
 
 def _matrix(ws: Workspace) -> DataFrame:
-    matrix = features.feature_matrix(ws.features, expected.LEVELS)
+    rows = ws.feature_table
+    matrix = features.feature_matrix(rows, features.category_levels(features.model_rows(rows)))
     rounded = _round(matrix, [*features.NUMERIC, *features.history_names()], 6)
     return _round(rounded, CYCLES, 9)
 
@@ -87,9 +88,9 @@ def _requests(ws: Workspace) -> DataFrame:
         F.when(number % 41 != 7, F.concat(F.lit("MTR-"), F.lpad((number % 400).cast("string"), 3, "0"))).alias(
             "meter_id"
         ),
-        (number % 40).cast("double").alias("temperature"),
+        F.when(number % 37 == 4, "warm").otherwise((number % 40).cast("double").cast("string")).alias("temperature"),
         F.when(number % 29 != 3, (20 + number % 60).cast("double")).alias("humidity"),
-        F.when(number % 2 == 0, 231.5).alias("voltage"),
+        F.when(number % 31 == 9, "high").when(number % 2 == 0, "231.5").alias("voltage"),
         F.when(number % 11 == 0, (number % 10).cast("double")).alias("lag_24h"),
     )
 
@@ -99,7 +100,7 @@ def _answers(ws: Workspace) -> tuple[DataFrame, DataFrame]:
 
 
 def _warehouse_tables(ws: Workspace) -> dict[str, DataFrame]:
-    return {name: ws.warehouse(name) for name in constraints.RULES}
+    return {name: stored(ws.warehouse(name), name) for name in constraints.RULES}
 
 
 def _summary(ws: Workspace) -> DataFrame:
@@ -108,7 +109,7 @@ def _summary(ws: Workspace) -> DataFrame:
 
 def _relationships(ws: Workspace) -> DataFrame:
     names = {name for link in constraints.RELATIONSHIPS for name in (link.many[0], link.one[0])}
-    return constraints.check_relationships({name: ws.gold(name) for name in names})
+    return constraints.check_relationships({name: stored(ws.gold(name), name) for name in names})
 
 
 def _sliced(ws: Workspace) -> DataFrame:
@@ -122,17 +123,75 @@ def _sliced(ws: Workspace) -> DataFrame:
     return metrics.measure(fact, names, ["region"])
 
 
+@cache
+def _trained_at(application: str, folder: str) -> models.Training:
+    """One training run of full size for all queries over a folder."""
+    return models.train(Workspace(SparkSession.getActiveSession(), folder).shared.feature_table)
+
+
+def _training(ws: Workspace) -> models.Training:
+    return _trained_at(ws.spark.sparkContext.applicationId, ws.folder)
+
+
 def _trained(ws: Workspace) -> DataFrame:
-    training = models.train(ws.feature_table, DEFAULTS, TREE_SIZES)
-    return training.metrics.drop("trained_at")
+    return _training(ws).metrics.drop("trained_at")
+
+
+def _train_contract(ws: Workspace) -> DataFrame:
+    """What any training run on these rows must report, taken from a real one."""
+    metrics = _training(ws).metrics
+    best = metrics.agg(F.min("rmse")).scalar()
+    return metrics.select(
+        "model_name", "train_rows", "test_rows", "feature_count",
+        (F.col("selected") == (F.col("rmse") == best)).alias("selected_is_best"),
+        F.sum(F.col("selected").cast("int")).over(Window.partitionBy("model_version")).alias("selected_models"),
+    )
 
 
 def _fitted_predictions(ws: Workspace) -> DataFrame:
-    rows = stored(features.model_rows(ws.feature_table), "model-rows")
-    training = split.find_boundary(rows, DEFAULTS.test_size).in_training()
-    pipeline = models.candidates(features.category_levels(rows))["LinearRegression"]
-    fitted = models.FittedForecast("LinearRegression", pipeline.fit(rows.where(training)))
-    return scoring.with_errors(fitted.transform(rows.where(~training)), fitted)
+    """Hold-out rows scored by the model that training has chosen."""
+    training = _training(ws)
+    return scoring.with_errors(training.best.transform(training.test_rows), training.best)
+
+
+def _fitted_keys(ws: Workspace) -> DataFrame:
+    """Keys and actuals of the scored rows, and whether their error columns follow from the prediction."""
+    made = stored(_fitted_predictions(ws), "fitted-predictions")
+    error = F.round(F.col("predicted_consumption") - F.col("actual_consumption"), 4)
+    return made.select(
+        "timestamp", "meter_id", "actual_consumption",
+        ((F.col("prediction_error") == error) & F.col("predicted_consumption").isNotNull()).alias("error_follows"),
+        (F.col("abs_percentage_error") >= 0).alias("percentage_is_size"),
+    )
+
+
+def _fitted_requests(ws: Workspace) -> DataFrame:
+    best = _training(ws).best
+    return scoring.predict_requests(_requests(ws), ws.feature_table, best)[0]
+
+
+def _forest_contract(ws: Workspace) -> DataFrame:
+    """Every silver reading once, flagged exactly where its score exceeds the percentile of all scores."""
+    found = stored(iforest.isolation_forest_anomalies(ws.silver), "forest")
+    cut = found.agg(F.percentile("anomaly_score", F.lit(1 - DEFAULTS.contamination))).scalar()
+    return found.select(
+        "timestamp", "meter_id", "energy_consumption",
+        (F.col("anomaly_flag") == (F.col("anomaly_score") > cut).cast("int")).alias("flag_follows"),
+        F.col("anomaly_score").between(0, 10).alias("score_in_range"),
+        ((F.col("anomaly_flag") == 1) == (F.col("anomaly_type") == "abnormal_meter_behaviour")).alias("type_follows"),
+    )
+
+
+def _anomalies_contract(ws: Workspace) -> DataFrame:
+    """Rows of each detector, and rows whose severity is not what score and flag say."""
+    size = F.abs("anomaly_score")
+    severity = (
+        F.when(F.col("anomaly_flag") == 0, "none").when(size >= 6, "high").when(size >= 4, "medium").otherwise("low")
+    )
+    return _all_anomalies(ws).groupBy("detection_method").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("anomaly_severity") != severity).alias("wrong_severity"),
+    )
 
 
 def _all_anomalies(ws: Workspace) -> DataFrame:
@@ -146,6 +205,62 @@ def _meter_fact(ws: Workspace) -> DataFrame:
     return stored(ws.warehouse("fact_meter_consumption"), "meters")
 
 
+def _days_written(df: DataFrame, day: str) -> DataFrame:
+    """Rows per day directory after a write and a read."""
+    path = fresh_path(df.sparkSession, "layer")
+    layers.write_by_day(df, path, day)
+    return layers.read(df.sparkSession, path).groupBy(F.col(day).cast("date").alias(day)).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _gold_csv(ws: Workspace) -> DataFrame:
+    folder = fresh_path(ws.spark, "gold")
+    saved = layers.write_gold(ws.gold("daily_consumption"), folder, "daily_consumption")
+    return ws.spark.read.schema(saved.schema).csv(layers.gold_path(folder, "daily_consumption", "csv"), header=True)
+
+
+def _strict(ws: Workspace) -> DataFrame:
+    """Whether the strict mode stops at each layer, and what for."""
+    rows = []
+    for layer, df in (("bronze", ws.bronze), ("silver", ws.silver)):
+        try:
+            quality.require_quality(quality.quality_report(df, layer))
+            rows.append((layer, False, ""))
+        except quality.QualityError as error:
+            rows.append((layer, True, str(error).removeprefix(f"layer {layer}: ")))
+    return ws.spark.createDataFrame(rows, "layer string, raised boolean, failures string")
+
+
+def _readiness(ws: Workspace) -> DataFrame:
+    names = ("wide_fact", "predictions", "anomalies")
+    return constraints.check_readiness({n: stored(ws.gold(n), n) for n in names}, ws.meters)
+
+
+def _batch(ws: Workspace) -> tuple[str, dict]:
+    """The whole batch over the given tables, scoring with the model trained at full size."""
+    base = fresh_path(ws.spark, "batch")
+    feeds.write_feeds(bundled.feeds(ws.spark, ws.folder), f"{base}/raw")
+    models.save(_training(ws), f"{base}/models")
+    database = f"gridloom_{base[-12:]}"
+    return database, batch.run_batch(ws.spark, base, train=False, database=database)
+
+
+def _batch_rows(ws: Workspace) -> DataFrame:
+    """Rows of every gold data set but anomalies, which depend on the forest."""
+    database, summary = _batch(ws)
+    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
+    rows = [(name, n) for name, n in summary["gold"].items() if name != "anomalies"]
+    return ws.spark.createDataFrame(rows, "dataset string, row_count long")
+
+
+def _catalog_rows(ws: Workspace) -> DataFrame:
+    """Rows of the registered layer tables, and of the loaded star schema, read through the catalog."""
+    database, summary = _batch(ws)
+    names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"]) if "anomalies" not in n]
+    rows = [(n, ws.spark.table(f"{database}.{n}").count()) for n in names]
+    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
+    return ws.spark.createDataFrame(rows, "table_name string, row_count long")
+
+
 def _view(name: str) -> Callable[[Workspace], DataFrame]:
     table, define = views.VIEWS[name]
     if table == "fact_meter_consumption":
@@ -206,11 +321,14 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         # forecasting
         "ml_split": _split,
         "ml_train": _trained,
+        "ml_train_contract": _train_contract,
         "ml_metrics": lambda ws: scoring.regression_metrics(
             ws.predictions, "actual_consumption", "predicted_consumption"
         ),
         "predictions": lambda ws: ws.predictions,
         "predictions_fitted": _fitted_predictions,
+        "predictions_fitted_keys": _fitted_keys,
+        "predict_requests_fitted": _fitted_requests,
         "prediction_summary": lambda ws: scoring.prediction_summary(ws.predictions),
         "predict_frame": lambda ws: scoring.predicted_frame(ws.features, scoring.Persistence()),
         "predict_requests": lambda ws: _answers(ws)[0],
@@ -219,7 +337,9 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "anom_zscore": lambda ws: anomaly.zscore_anomalies(ws.silver),
         "anom_severity": lambda ws: anomaly.combined(anomaly.zscore_anomalies(ws.silver)),
         "anom_iforest": lambda ws: iforest.isolation_forest_anomalies(ws.shared.silver),
+        "anom_iforest_contract": lambda ws: _forest_contract(ws.shared),
         "anomalies": lambda ws: _all_anomalies(ws.shared),
+        "anomalies_contract": lambda ws: _anomalies_contract(ws.shared),
         "anom_summary": lambda ws: anomaly.anomaly_summary(ws.anomalies),
         "anomalies_fact": lambda ws: ws.warehouse("fact_anomalies"),
         # wide fact
@@ -262,7 +382,7 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "rep_top_meters": lambda ws: reports.top_meters(ws.shared.wide_fact),
         "rep_meter_trend": lambda ws: reports.meter_trend(ws.shared.wide_fact),
         "rep_meter_season": lambda ws: reports.meter_by_season(ws.shared.wide_fact),
-        "rep_drill": lambda ws: reports.drill_down(gold.meter_consumption(ws.silver)),
+        "rep_drill": lambda ws: reports.drill_down(gold.meter_totals(ws.silver)),
         "rep_anomaly_type": lambda ws: reports.anomalies_by_type(ws.anomalies),
         "rep_anomaly_timeline": lambda ws: reports.anomaly_timeline(ws.anomalies),
         "rep_high_periods": lambda ws: reports.high_consumption_periods(ws.shared.wide_fact),
@@ -272,6 +392,14 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
             ws.warehouse(daily), "meter_id", ws.warehouse("dim_meter"), "meter_id"
         ),
         "rel_check": lambda ws: _relationships(ws.shared),
+        "gold_readiness": lambda ws: _readiness(ws.shared),
+        # sinks, catalog, batch
+        "sink_bronze_days": lambda ws: _days_written(ws.bronze, "event_date"),
+        "sink_silver_days": lambda ws: _days_written(ws.silver, "date"),
+        "sink_gold_csv": _gold_csv,
+        "dq_strict": lambda ws: _strict(ws.shared),
+        "batch_rows": _batch_rows,
+        "catalog_rows": _catalog_rows,
         "wh_fact_predictions": lambda ws: ws.warehouse("fact_predictions"),
     }
     found |= {name: _view(name) for name in views.VIEWS}

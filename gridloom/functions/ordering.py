@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import stored
+
 
 def running_total(
     df: DataFrame,
@@ -15,25 +17,18 @@ def running_total(
     *,
     within: Sequence[str] = (),
     weight: Column | None = None,
-    cuts: int = 128,
 ) -> DataFrame:
     """Add ``name`` = sum of ``weight`` (default 1: a row number) up to and including each row.
 
-    ``within`` + ``order`` must identify a row. A hash-chosen handful of keys cuts the order into
-    slots, so a group holding most rows also gets most slots. Slot totals give each slot its
-    offset, and only rows of one slot are sorted together. The cut points decide the balance,
-    never the result.
+    ``within`` + ``order`` must identify a row. Range partitioning by both cuts the order into
+    slots, as many as the session has shuffle partitions, so a group holding most rows also gets
+    most slots. The slots are written once; slot totals give each slot its offset, and only rows of
+    one slot are sorted together. Where the order is cut decides the balance, never the result.
     """
     weight = F.lit(1) if weight is None else weight
     within = list(within)
     keyed = df.withColumn("_key", F.struct(*within, *[c.alias(f"_o{i}") for i, c in enumerate(order)]))
-    chosen = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(cuts)
-    points = chosen.agg(F.sort_array(F.collect_list("_key")).alias("points"))
-    slotted = (
-        keyed.withColumn("_points", points.scalar())
-        .withColumn("_slot", F.size(F.filter("_points", lambda point: point <= F.col("_key"))))
-        .drop("_points")
-    )
+    slotted = stored(keyed.repartitionByRange("_key").withColumn("_slot", F.spark_partition_id()), "slots")
 
     earlier = Window.partitionBy(*within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,11 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/gridloom/{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[str] = ContextVar("gridloom-storage", default="")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +49,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_storage(spark: SparkSession) -> Iterator[None]:
+    """Whatever is stored inside is deleted on the way out, also after an error."""
+    token = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_application_folder(spark)}{_scope.get()}")
+        _scope.reset(token)
+
+
 def discard_stored(spark: SparkSession) -> None:
     """Delete what this application has stored, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    _delete(spark, _application_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import settled
+from gridloom.functions.ordering import exact_median
+from gridloom.functions.shared import stored
 from gridloom.settings import DEFAULTS, MAD_SCALE, Settings
 
 VALUE = "energy_consumption"
@@ -29,14 +31,17 @@ def with_severity(scored: DataFrame) -> DataFrame:
 def zscore_anomalies(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Distance from the median of the meter's hour in units of scaled median deviation.
 
-    A group whose deviation is zero scores zero. Medians are partially aggregated per task as
-    value counts and joined back to the rows.
+    A group whose deviation is zero scores zero. Medians come from counted values in range-cut order, so
+    one busy hour of one meter is spread over tasks; the centred rows are written once.
     """
     readings = df.select("timestamp", *KEY, VALUE)
-    centres = readings.groupBy(*KEY).agg(F.median(VALUE).alias("_centre"))
-    placed = readings.join(centres, list(KEY), "left").withColumn("_gap", F.col(VALUE) - F.col("_centre"))
-    spreads = placed.groupBy(*KEY).agg((F.median(F.abs("_gap")) * MAD_SCALE).alias("_spread"))
-    scored = placed.join(spreads, list(KEY), "left").withColumn(
+    centres = exact_median(readings, KEY, VALUE, "_centre")
+    placed = stored(
+        readings.join(centres, list(KEY), "left").withColumn("_gap", F.col(VALUE) - F.col("_centre")), "centred"
+    )
+    gaps = placed.select(*KEY, F.abs("_gap").alias("_distance"))
+    spreads = exact_median(gaps, KEY, "_distance", "_median").withColumn("_spread", F.col("_median") * MAD_SCALE)
+    scored = placed.join(spreads.drop("_median"), list(KEY), "left").withColumn(
         "_score", F.coalesce(F.try_divide("_gap", "_spread"), F.lit(0.0))
     )
     return _judged(scored, settings)

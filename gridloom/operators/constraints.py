@@ -207,3 +207,29 @@ def check_relationships(
             )
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+# What a flat fact, predictions and anomalies must fulfil before they are handed on.
+READINESS = {
+    "wide_fact": (
+        ("total_known", "total_consumption IS NOT NULL"),
+        ("anomaly_flag_domain", "anomaly_flag IN (0, 1)"),
+        ("severity_domain", "anomaly_severity IN ('none', 'low', 'medium', 'high')"),
+    ),
+    "predictions": (("prediction_known", "predicted_consumption IS NOT NULL"),),
+    "anomalies": (("flagged", "anomaly_flag = 1"),),
+}
+
+
+def check_readiness(datasets: Mapping[str, DataFrame], meters: DataFrame) -> DataFrame:
+    """(dataset, rule, violations): row rules, one row per hour and meter, and meters the dimension knows."""
+    parts = []
+    for name, rules in READINESS.items():
+        df = datasets[name]
+        counts = [F.count_if(~F.coalesce(F.expr(test), F.lit(False))).alias(rule) for rule, test in rules]
+        parts.append(_result(df.agg(*counts), name, [rule for rule, _ in rules]))
+    fact = datasets["wide_fact"]
+    repeated = duplicate_keys(fact, ["date", "hour", "meter_id"]).agg(F.count(F.lit(1)).alias("unique_hour"))
+    unknown = orphans(fact, "meter_id", meters, "meter_id").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("meter_known"))
+    parts += [_result(repeated, "wide_fact", ["unique_hour"]), _result(unknown, "wide_fact", ["meter_known"])]
+    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"table_name": "dataset", "constraint_name": "rule"})

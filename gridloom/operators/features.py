@@ -123,12 +123,7 @@ def feature_matrix(
     return model_rows(df, settings).select("timestamp", "meter_id", TARGET, *numeric, *encoded)
 
 
-def category_levels(df: DataFrame, limit: int = 200) -> dict[str, list[str]]:
-    """Distinct values per category, refused beyond ``limit`` because each becomes a column."""
-    found = {}
-    for column in CATEGORICAL:
-        distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
-        found[column] = sorted(row[0] for row in distinct.limit(limit + 1).collect())
-        if len(found[column]) > limit:
-            raise ValueError(f"{column} has more than {limit} levels")
-    return found
+def category_levels(df: DataFrame) -> dict[str, list[str]]:
+    """Distinct values per category, in order; each becomes a column of the plain matrix."""
+    sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in CATEGORICAL]).first()
+    return {c: list(sets[c]) for c in CATEGORICAL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import calendar
 from gridloom.functions.aggregates import rounded_mean, rows, total
 from gridloom.functions.ordering import running_total
 
@@ -32,12 +33,11 @@ def hourly_consumption(silver: DataFrame) -> DataFrame:
 
 
 def daily_consumption(silver: DataFrame) -> DataFrame:
-    """``season`` depends on the date, so its maximum is the one value it has."""
-    return silver.groupBy("date", "meter_id").agg(
-        *_measures(),
-        _temperature(),
-        F.max("weekend_flag").alias("weekend_flag"),
-        F.max("season").alias("season"),
+    """Weekend flag and season follow from the date and are derived once per row of the result."""
+    return (
+        silver.groupBy("date", "meter_id")
+        .agg(*_measures(), _temperature())
+        .withColumns({"weekend_flag": calendar.weekend_flag(F.col("date")), "season": calendar.season(F.month("date"))})
     )
 
 
@@ -57,11 +57,15 @@ def monthly_consumption(silver: DataFrame) -> DataFrame:
     return silver.groupBy("year", "month", "meter_id").agg(*_measures())
 
 
-def meter_consumption(silver: DataFrame) -> DataFrame:
-    """Per meter with a gap-free rank by total, ties in meter order."""
-    meters = silver.groupBy("meter_id", "meter_type", "region").agg(
+def meter_totals(silver: DataFrame) -> DataFrame:
+    return silver.groupBy("meter_id", "meter_type", "region").agg(
         *_measures(), F.round(F.stddev_samp(ENERGY), 4).alias("stddev_consumption")
     )
+
+
+def meter_consumption(silver: DataFrame) -> DataFrame:
+    """Per meter with a gap-free rank by total, ties in meter order."""
+    meters = meter_totals(silver)
     ties = [F.col(c) for c in meters.columns if c != "total_consumption"]
     return running_total(meters, [-F.col("total_consumption"), *ties], "consumption_rank").withColumn(
         "consumption_rank", F.col("consumption_rank").cast("int")
@@ -93,12 +97,17 @@ def energy_summary(silver: DataFrame) -> DataFrame:
 
 def dim_date(silver: DataFrame) -> DataFrame:
     """Every column follows from the date, so only dates are made distinct."""
-    known = ["year", "month", "day", "day_of_week", "weekend_flag", "season"]
     return (
-        silver.groupBy("date")
-        .agg(*[F.max(c).alias(c) for c in known])
+        silver.select("date")
+        .distinct()
         .withColumns(
             {
+                "year": F.year("date"),
+                "month": F.month("date"),
+                "day": F.dayofmonth("date"),
+                "day_of_week": F.dayofweek("date"),
+                "weekend_flag": calendar.weekend_flag(F.col("date")),
+                "season": calendar.season(F.month("date")),
                 "month_name": F.date_format("date", "MMMM"),
                 "day_name": F.date_format("date", "EEEE"),
                 "quarter": F.quarter("date"),
@@ -113,3 +122,13 @@ def dim_meter(silver: DataFrame, meters: DataFrame) -> DataFrame:
         rounded_mean(ENERGY).alias("avg_consumption"), total(ENERGY).alias("total_consumption")
     )
     return meters.join(usage, "meter_id", "left")
+
+
+#: Data sets made of silver readings alone.
+DATASETS = {
+    make.__name__: make
+    for make in (
+        energy_summary, hourly_consumption, daily_consumption, weekly_consumption, monthly_consumption,
+        meter_consumption, peak_offpeak_consumption, weather_energy, dim_date,
+    )
+}

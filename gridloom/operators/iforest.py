@@ -25,7 +25,6 @@ FEATURES = (
 )
 TREES = 150
 SAMPLE = 256
-POOL_ROWS = 200_000
 HASH_RANGE = 1 << 31
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, length double"
 
@@ -81,18 +80,17 @@ def drawn_samples(
 ) -> DataFrame:
     """``min(sample, rows)`` rows per tree, chosen by hash so that reruns agree.
 
-    A random pool is taken in one cheap pass; each tree draws from the pool. Candidates are
-    thinned by hash before the exact choice, three times the needed number in expectation.
+    Every tree draws from all rows. A row is copied only for the trees whose hash lets it pass, three
+    times the needed number in expectation, so few rows move at any size; the exact choice is among those.
     """
-    if rows > POOL_ROWS:
-        df = df.where(_uniform(*key, F.lit(seed)) < F.lit(int(POOL_ROWS / rows * HASH_RANGE)))
-    limit = int(min(1.0, 3.0 * sample / min(rows, POOL_ROWS)) * HASH_RANGE)
-    draw = _uniform(*key, F.lit(seed), "tree")
+    limit = int(min(1.0, 3.0 * sample / max(rows, 1)) * HASH_RANGE)
+    passing = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _uniform(*key, F.lit(seed), tree) < limit
+    )
     best = Window.partitionBy("tree").orderBy("_draw", *key)
     return (
-        df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_draw", draw)
-        .where(F.col("_draw") < limit)
+        df.withColumn("tree", F.explode(passing))
+        .withColumn("_draw", _uniform(*key, F.lit(seed), "tree"))
         .withColumn("_place", F.row_number().over(best))
         .where(F.col("_place") <= sample)
         .drop("_place")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,28 +51,31 @@ class Training:
     test_rows: DataFrame
 
 
-def encoding(levels: Mapping[str, Sequence[str]], settings: Settings = DEFAULTS) -> list:
-    """Stages turning feature rows into a vector: numbers as they are, one slot per category level.
+def encoding(settings: Settings = DEFAULTS) -> Pipeline:
+    """Feature rows to a vector: numbers, gaps filled with the training median, one slot per category level.
 
-    A level that is not listed becomes all zeros.
+    Levels are those of the rows it is fitted on; any other becomes all zeros. Medians are exact to
+    a thousandth of the rows' ranks.
     """
-    stages, encoded = [], []
-    for column in features.CATEGORICAL:
-        index, slots = f"_{column}_index", f"_{column}_slots"
-        stages.append(
-            StringIndexerModel.from_labels(
-                list(levels[column]), inputCol=column, outputCol=index, handleInvalid="keep"
-            )
-        )
-        stages.append(OneHotEncoder(inputCol=index, outputCol=slots, dropLast=True))
-        encoded.append(slots)
-    inputs = [*features.numeric_columns(settings), *encoded]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
-
-
-def candidates(
-    levels: Mapping[str, Sequence[str]], settings: Settings = DEFAULTS, sizes: ModelSizes = ModelSizes()
-) -> dict[str, Pipeline]:
+    numbers = features.numeric_columns(settings)
+    indexed = [f"_{c}_index" for c in features.CATEGORICAL]
+    slots = [f"_{c}_slots" for c in features.CATEGORICAL]
+    filled = [f"_{c}_filled" for c in numbers]
+    return Pipeline(
+        stages=[
+            StringIndexer(
+                inputCols=list(features.CATEGORICAL), outputCols=indexed, handleInvalid="keep",
+                stringOrderType="alphabetAsc",
+            ),
+            OneHotEncoder(inputCols=indexed, outputCols=slots, dropLast=True),
+            Imputer(inputCols=numbers, outputCols=filled, strategy="median", relativeError=0.001),
+            VectorAssembler(inputCols=[*filled, *slots], outputCol="features"),
+        ]
+    )
+
+
+def candidates(settings: Settings = DEFAULTS, sizes: ModelSizes = ModelSizes()) -> dict[str, Pipeline]:
+    """What is fitted on encoded rows."""
     target = {"labelCol": features.TARGET, "predictionCol": PREDICTION}
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     linear = LinearRegression(featuresCol="scaled", regParam=0.0, **target)
@@ -91,11 +94,10 @@ def candidates(
         seed=settings.seed,
         **target,
     )
-    prepared = encoding(levels, settings)
     return {
-        "LinearRegression": Pipeline(stages=[*prepared, scaler, linear]),
-        "RandomForest": Pipeline(stages=[*prepared, forest]),
-        "GradientBoosting": Pipeline(stages=[*prepared, boosting]),
+        "LinearRegression": Pipeline(stages=[scaler, linear]),
+        "RandomForest": Pipeline(stages=[forest]),
+        "GradientBoosting": Pipeline(stages=[boosting]),
     }
 
 
@@ -112,24 +114,29 @@ def train(
 ) -> Training:
     """Fit every candidate on the earlier rows, compare them on the later ones, pick by RMSE.
 
-    Category levels come from all rows, so every run has the same columns in both parts.
+    Encoding is learnt on the earlier rows and applied once; all three fits read the stored vectors.
     """
     used = feature_rows if sample_rows is None else last_rows(feature_rows, sample_rows)
     complete = stored(features.model_rows(used, settings), "model-rows")
-    levels = features.category_levels(complete)
     boundary = find_boundary(complete, settings.test_size)
     training = complete.where(boundary.in_training())
     test = complete.where(~boundary.in_training())
+    encoder = encoding(settings).fit(training)
+    encoded = stored(
+        encoder.transform(complete).select("timestamp", "meter_id", features.TARGET, "features"), "encoded-rows"
+    )
+    seen, unseen = encoded.where(boundary.in_training()), encoded.where(~boundary.in_training())
 
     fitted, results = {}, []
-    for name, pipeline in candidates(levels, settings, sizes).items():
-        fitted[name] = FittedForecast(name, pipeline.fit(training))
-        scored = fitted[name].transform(test)
+    for name, pipeline in candidates(settings, sizes).items():
+        model = pipeline.fit(seen)
+        fitted[name] = FittedForecast(name, PipelineModel([*encoder.stages, *model.stages]))
+        scored = model.transform(unseen)
         found = regression_metrics(scored, features.TARGET, PREDICTION).first()
         results.append((name, found["mae"], found["mse"], found["rmse"], found["r2"]))
     best = min(results, key=lambda row: row[3])[0]
     trained_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    width = fitted[best].transform(training.limit(1)).first()["features"].size
+    width = encoded.first()["features"].size
     rows = [
         (*row, row[0] == best, boundary.train_rows, boundary.test_rows, width, settings.model_version, trained_at)
         for row in results

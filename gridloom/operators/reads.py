@@ -19,9 +19,9 @@ def checked_limit(limit: int | str) -> int:
     try:
         value = int(limit)
     except (TypeError, ValueError) as problem:
-        raise ValueError("limit must be an integer") from problem
+        raise ValueError(f"{limit!r} is no number of rows") from problem
     if not 1 <= value <= MAX_READ_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_READ_LIMIT}")
+        raise ValueError(f"a read returns 1 to {MAX_READ_LIMIT} rows, not {value}")
     return value
 
 
@@ -74,7 +74,7 @@ def read_anomalies(
 ) -> DataFrame:
     count = checked_limit(limit)
     if severity is not None and severity not in SEVERITIES:
-        raise ValueError(f"severity must be one of {', '.join(SEVERITIES)}")
+        raise ValueError(f"{severity!r} is no severity; known: {', '.join(SEVERITIES)}")
     chosen = anomalies.where(F.col("anomaly_flag") == 1)
     if meter_id is not None:
         chosen = chosen.where(F.col("meter_id") == meter_id)

@@ -14,8 +14,9 @@ from gridloom.operators.split import find_boundary
 from gridloom.settings import DEFAULTS, TIMESTAMP_FORMAT, Settings
 
 PREDICTION = "prediction"
-# Request fields and the ones that must be numbers.
+# Request fields that must be there, and those that must be numbers where given.
 REQUIRED_FIELDS = ("timestamp", "meter_id", "temperature", "humidity")
+NUMBER_FIELDS = ("temperature", "humidity", "voltage", "current", "power_factor")
 
 
 class Forecast(Protocol):
@@ -107,13 +108,16 @@ def check_requests(requests: DataFrame, known_meters: DataFrame) -> tuple[DataFr
 
     ``requests`` may carry any feature column to override the meter's last known value.
     """
+    given = [c for c in NUMBER_FIELDS if c in requests.columns]
+    numbers = {c: F.expr(f"nullif(try_cast(`{c}` AS DOUBLE), double('NaN'))") for c in given}
+    wrong = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & numbers[c].isNull(), F.lit(c)) for c in given])
     typed = requests.withColumn("_at", F.try_to_timestamp("timestamp", F.lit(TIMESTAMP_FORMAT)))
     missing = [F.when(F.col(name).isNull(), F.lit(name)) for name in REQUIRED_FIELDS]
     listed = F.concat_ws(",", *missing)
     reason = F.when(listed != "", F.concat(F.lit("missing: "), listed)).when(
         F.col("_at").isNull(), "timestamp not readable"
-    )
-    typed = typed.withColumn("reason", reason)
+    ).when(wrong != "", F.concat(F.lit("not a number: "), wrong))
+    typed = typed.withColumn("reason", reason).withColumns(numbers)
     sound = typed.where(F.col("reason").isNull()).drop("reason")
     ids = known_meters.select("meter_id").distinct()
     unknown = sound.join(ids, "meter_id", "left_anti").withColumn("reason", F.lit("unknown meter"))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.ordering import running_total
 
-TOP_K_ROWS = 10_000
-
 
 class Boundary(NamedTuple):
     """Training rows lie before ``at``, or at ``at`` with a meter up to ``last_meter``."""
@@ -66,11 +64,8 @@ def _reach(counts: list[tuple], cut: int) -> tuple:
 
 
 def _nth_row(df: DataFrame, nth: int) -> tuple[dt.datetime, str]:
-    """A short top-k where ``nth`` is small, distributed ranking otherwise."""
+    """The row at place ``nth`` of a distributed ranking."""
     keys = df.select("timestamp", "meter_id")
-    if nth <= TOP_K_ROWS:
-        first = keys.orderBy("timestamp", "meter_id").limit(nth)
-        return tuple(first.agg(F.max(F.struct("timestamp", "meter_id"))).first()[0])
     ranked = running_total(keys, [F.col("timestamp"), F.col("meter_id")], "_nth")
     found = ranked.where(F.col("_nth") == nth).first()
     return found["timestamp"], found["meter_id"]

@@ -12,9 +12,10 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.functions.shared import discard_stored
+from gridloom.functions.shared import temporary_storage
 from gridloom.operators import anomaly, features, gold, iforest, models, profile, quality, scoring, silver, widefact
 from gridloom.plans.session import session
 from gridloom.settings import DEFAULTS, Settings
@@ -76,19 +77,9 @@ def silver_stage(spark: SparkSession, at: Locations, strict: bool, settings: Set
 def gold_stage(spark: SparkSession, at: Locations, settings: Settings) -> dict[str, DataFrame]:
     readings = layers.read(spark, at.layer("silver", layers.READINGS))
     meters = layers.read(spark, at.layer("bronze", layers.METERS))
-    made = {
-        "energy_summary": gold.energy_summary(readings),
-        "hourly_consumption": gold.hourly_consumption(readings),
-        "daily_consumption": gold.daily_consumption(readings),
-        "weekly_consumption": gold.weekly_consumption(readings),
-        "monthly_consumption": gold.monthly_consumption(readings),
-        "meter_consumption": gold.meter_consumption(readings),
-        "peak_offpeak_consumption": gold.peak_offpeak_consumption(readings),
-        "weather_energy": gold.weather_energy(readings),
-        "dim_date": gold.dim_date(readings),
-        "dim_meter": gold.dim_meter(readings, meters),
-        "ml_features": features.ml_features(readings, settings),
-    }
+    made = {name: make(readings) for name, make in gold.DATASETS.items()}
+    made["dim_meter"] = gold.dim_meter(readings, meters)
+    made["ml_features"] = features.ml_features(readings, settings)
     return {name: layers.write_gold(df, at.gold, name) for name, df in made.items()}
 
 
@@ -99,9 +90,10 @@ def forecast_stage(
     sizes: models.ModelSizes,
     train: bool,
     settings: Settings,
+    sample_rows: int | None = None,
 ) -> DataFrame:
     if train:
-        training = models.train(feature_table, settings, sizes)
+        training = models.train(feature_table, settings, sizes, sample_rows=sample_rows)
         models.save(training, at.models)
         scored = training.best.transform(training.test_rows)
         made = scoring.with_errors(scored, training.best, settings)
@@ -110,12 +102,15 @@ def forecast_stage(
     return layers.write_gold(made, at.gold, "predictions")
 
 
-def anomaly_stage(at: Locations, feature_table: DataFrame, settings: Settings) -> DataFrame:
+def anomaly_stage(at: Locations, feature_table: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """The flagged rows as written, and how many rows were scored for them."""
+    seen = Observation()
     detected = anomaly.combined(
         anomaly.zscore_anomalies(feature_table, settings),
         iforest.isolation_forest_anomalies(feature_table, settings),
     )
-    return layers.write_gold(anomaly.flagged_only(detected), at.gold, "anomalies")
+    counted = detected.observe(seen, F.count(F.lit(1)).alias("scored"))
+    return layers.write_gold(anomaly.flagged_only(counted), at.gold, "anomalies"), seen.get["scored"]
 
 
 def run_batch(
@@ -127,14 +122,33 @@ def run_batch(
     database: str | None = None,
     sizes: models.ModelSizes = models.ModelSizes(),
     settings: Settings = DEFAULTS,
+    sample_rows: int | None = None,
+    evaluate: bool = False,
 ) -> dict:
-    """Run every stage below ``base``; with ``database`` also load and register the tables."""
-    started, at = time.time(), Locations(base.rstrip("/"))
+    """Run every stage below ``base``; with ``database`` also load and register the tables.
+
+    ``sample_rows`` trains on the newest rows only; ``evaluate`` measures the saved model again. What stages
+    keep for themselves is deleted at the end, however the batch ends.
+    """
+    with temporary_storage(spark):
+        return _run(spark, base, strict, train, database, sizes, settings, sample_rows, evaluate)
+
+
+def _run(
+    spark: SparkSession, base: str, strict: bool, train: bool, database: str | None, sizes: models.ModelSizes,
+    settings: Settings, sample_rows: int | None, evaluate: bool,
+) -> dict:
+    started, at = time.monotonic(), Locations(base.rstrip("/"))
     summary: dict = {"bronze": bronze_stage(spark, at, strict, settings)}
     summary["silver"] = silver_stage(spark, at, strict, settings)
     data = gold_stage(spark, at, settings)
-    data["predictions"] = forecast_stage(spark, at, data["ml_features"], sizes, train, settings)
-    data["anomalies"] = anomaly_stage(at, data["ml_features"], settings)
+    data["predictions"] = forecast_stage(spark, at, data["ml_features"], sizes, train, settings, sample_rows)
+    summary["predictions"] = scoring.prediction_summary(data["predictions"]).first().asDict()
+    if evaluate:
+        summary["saved_model"] = models.evaluate_saved(spark, at.models, data["ml_features"], settings).first().asDict()
+    data["anomalies"], scored = anomaly_stage(at, data["ml_features"], settings)
+    found = anomaly.anomaly_summary(data["anomalies"]).collect()  # one row a type or severity
+    summary["anomalies"] = {"scored_rows": scored} | {f"{r['facet']}:{r['label']}": r["anomalies"] for r in found}
     fact = widefact.wide_fact(
         data["hourly_consumption"], data["ml_features"], data["predictions"], data["anomalies"]
     )
@@ -145,8 +159,7 @@ def run_batch(
         summary["warehouse"] = warehouse.load_warehouse(spark, data, database, f"{at.base}/warehouse")
         paths = {name: layers.gold_path(at.gold, name) for name in data}
         summary["catalog"] = warehouse.register_layers(spark, database, at.base, paths)
-    summary["duration_seconds"] = round(time.time() - started, 1)
-    return summary
+    return summary | {"duration_seconds": float(f"{time.monotonic() - started:.3f}")}
 
 
 def _row_counts(spark: SparkSession, data: Mapping[str, DataFrame], at: Locations) -> dict[str, int]:
@@ -169,12 +182,14 @@ def main() -> None:
     parser.add_argument("base", help="folder URI holding raw/ and receiving every other layer")
     parser.add_argument("--strict", action="store_true", help="stop when a quality check fails")
     parser.add_argument("--skip-train", action="store_true", help="use the saved model")
+    parser.add_argument("--sample-rows", type=int, help="train on this many of the newest rows")
+    parser.add_argument("--evaluate", action="store_true", help="measure the saved model on the hold-out rows")
     parser.add_argument("--database", help="also load the star schema and register tables here")
     given = parser.parse_args()
     done = run_batch(
-        session(), given.base, strict=given.strict, train=not given.skip_train, database=given.database
-    )
-    discard_stored(session())
+        session(), given.base, strict=given.strict, train=not given.skip_train, database=given.database,
+        sample_rows=given.sample_rows, evaluate=given.evaluate,
+    )
     print(json.dumps(done, indent=2, default=str))
 
 

@@ -6,8 +6,8 @@ followed by its own SELECT. Rounding goes through DECIMAL so that halves round u
 
 from __future__ import annotations
 
-from gridloom.operators import constraints, features, profile
-from gridloom.sources import warehouse
+# Nothing is imported from the implementation: lists below are written out, so that a rule or column missing there
+# shows as a difference.
 
 
 def rnd(x: str, digits: int) -> str:
@@ -103,10 +103,22 @@ def history(window: str, full: bool = False) -> str:
     return ", ".join(parts)
 
 
-HISTORY_NAMES = features.history_names()
+HISTORY_NAMES = [
+    "lag_1h", "lag_2h", "lag_3h", "lag_24h", "rolling_mean_3h", "rolling_std_3h", "rolling_mean_24h", "rolling_std_24h",
+]
+BASE_NAMES = [
+    "timestamp", "meter_id", "meter_type", "region", "energy_consumption", "voltage", "current", "power_factor",
+    "temperature", "humidity", "weather_condition", "hour", "day", "month", "year", "day_of_week", "weekend_flag",
+    "peak_hour_flag", "season", "temperature_band", "date",
+]
+MODEL_NUMBERS = [
+    "voltage", "current", "power_factor", "temperature", "humidity", "hour", "day", "month", "day_of_week",
+    "weekend_flag", "peak_hour_flag",
+]
+WAVES = {"hour": ("hour", 24), "month": ("month", 12), "dow": ("day_of_week", 7)}
 BY_METER = '(PARTITION BY meter_id ORDER BY "timestamp")'
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in HISTORY_NAMES)
-BASE = ", ".join('"timestamp"' if c == "timestamp" else c for c in features.BASE_COLUMNS)
+BASE = ", ".join('"timestamp"' if c == "timestamp" else c for c in BASE_NAMES)
 SEVERITY = (
     "CASE WHEN anomaly_flag = 0 THEN 'none' WHEN abs(anomaly_score) >= 6 THEN 'high' "
     "WHEN abs(anomaly_score) >= 4 THEN 'medium' ELSE 'low' END"
@@ -326,7 +338,7 @@ ANOMALY_LABEL = (
 HOUR_LABEL = "lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS hour_label"
 CYCLES = ", ".join(
     f"{rnd(f'{wave}(CAST(2 * pi() AS DOUBLE) * {column} / {period})', 9)} AS {prefix}_{wave}"
-    for prefix, (column, period) in features.CYCLES.items()
+    for prefix, (column, period) in WAVES.items()
     for wave in ("sin", "cos")
 )
 LEVELS = {
@@ -338,7 +350,7 @@ ENCODED = ", ".join(
     f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"{c}_{v}\"" for c, vs in LEVELS.items() for v in vs
 )
 MATRIX = ", ".join(
-    [f"{rnd(c, 6)} AS {c}" for c in (*features.NUMERIC, *HISTORY_NAMES)] + [CYCLES, ENCODED]
+    [f"{rnd(c, 6)} AS {c}" for c in (*MODEL_NUMBERS, *HISTORY_NAMES)] + [CYCLES, ENCODED]
 )
 DQ = {
     "null_timestamp": '"timestamp" IS NULL',
@@ -375,42 +387,109 @@ def sql_name(table: str) -> str:
     return "wh_dim_date" if table == "dim_date" else table
 
 
+# The star schema's constraints: key, NOT NULL columns, checks, references.
+_SIZES = "total_consumption avg_consumption reading_count"
+_FULL = "total_consumption avg_consumption max_consumption min_consumption reading_count"
+CONSTRAINTS = {
+    "dim_meter": ("primary_key: meter_id", "meter_id meter_type region", {"rated_voltage_positive": "rated_voltage > 0"}, ""),
+    "dim_date": (
+        "primary_key: date_key", "date_key year quarter month day day_of_week weekend_flag season",
+        {"month_range": "month >= 1 AND month <= 12", "weekend_flag_domain": "weekend_flag = 0 OR weekend_flag = 1"}, "",
+    ),
+    "fact_hourly_consumption": (
+        "primary_key: date_key hour meter_id", f"date_key hour meter_id {_FULL} peak_hour_flag",
+        {
+            "hour_range": "hour >= 0 AND hour <= 23", "total_not_negative": "total_consumption >= 0",
+            "peak_hour_flag_domain": "peak_hour_flag = 0 OR peak_hour_flag = 1",
+        },
+        "date_key meter_id",
+    ),
+    "fact_daily_consumption": (
+        "primary_key: date_key meter_id", f"date_key meter_id {_FULL} weekend_flag season",
+        {"total_not_negative": "total_consumption >= 0"}, "date_key meter_id",
+    ),
+    "fact_monthly_consumption": (
+        "primary_key: year month meter_id", f"year month meter_id {_FULL}", {"month_range": "month >= 1 AND month <= 12"}, "meter_id",
+    ),
+    "fact_peak_offpeak": (
+        "primary_key: date_key tariff_period", f"date_key tariff_period {_SIZES}",
+        {"tariff_period_domain": "tariff_period = 'peak' OR tariff_period = 'off_peak'"}, "date_key",
+    ),
+    "fact_weather_energy": (
+        "primary_key: date_key weather_condition temperature_band",
+        f"date_key weather_condition temperature_band {_SIZES}", {}, "date_key",
+    ),
+    "fact_meter_consumption": ("primary_key: meter_id", f"meter_id meter_type region {_FULL} consumption_rank", {}, "meter_id"),
+    "fact_predictions": (
+        "unique_reading_model: reading_ts meter_id model_name",
+        "reading_ts meter_id predicted_consumption model_name model_version", {}, "meter_id",
+    ),
+    "fact_anomalies": (
+        "unique_reading_method: reading_ts meter_id detection_method",
+        "reading_ts meter_id energy_consumption anomaly_flag anomaly_type anomaly_severity detection_method",
+        {"anomaly_flag_domain": "anomaly_flag = 0 OR anomaly_flag = 1"}, "meter_id",
+    ),
+    "energy_summary": (
+        "", "total_consumption avg_consumption peak_consumption min_consumption meter_count reading_count period_start period_end",
+        {}, "",
+    ),
+}
+
+
 def constraint_rows() -> str:
     parts = []
-    for table, rules in constraints.RULES.items():
+    for table, (key, required, checks, references) in CONSTRAINTS.items():
         source = sql_name(table)
 
         def row(name: str, query: str) -> None:
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, ({query}) AS violations")
 
-        for c in rules.required:
+        for c in required.split():
             row(f"not_null_{c}", f"SELECT count(*) FROM {source} WHERE {c} IS NULL")
-        for name, test in rules.checks:
+        for name, test in checks.items():
             row(f"check_{name}", f"SELECT count(*) FROM {source} WHERE NOT ({test})")
-        for name, columns in rules.keys:
-            keys = ", ".join(columns)
+        if key:
+            name, columns = key.split(": ")
+            keys = ", ".join(columns.split())
             row(name, f"SELECT count(*) FROM (SELECT {keys} FROM {source} GROUP BY {keys} HAVING count(*) > 1)")
-        for c, target, key in rules.references:
+        for c in references.split():
+            target = "dim_meter" if c == "meter_id" else "dim_date"
             row(
                 f"foreign_key_{c}",
                 f"SELECT count(*) FROM {source} f WHERE {c} IS NOT NULL AND NOT EXISTS "
-                f"(SELECT 1 FROM {sql_name(target)} d WHERE d.{key} = f.{c})",
+                f"(SELECT 1 FROM {sql_name(target)} d WHERE d.{c} = f.{c})",
             )
     return "\nUNION ALL ".join(parts)
 
 
+# The semantic model's relationships: many side, one side, cardinality.
+RELATIONSHIPS = """
+wide_fact.date dim_date.date many-to-one
+wide_fact.meter_id dim_meter.meter_id many-to-one
+daily_consumption.date dim_date.date many-to-one
+daily_consumption.meter_id dim_meter.meter_id many-to-one
+meter_consumption.meter_id dim_meter.meter_id one-to-one
+predictions.meter_id dim_meter.meter_id many-to-one
+anomalies.meter_id dim_meter.meter_id many-to-one
+peak_offpeak_consumption.date dim_date.date many-to-one
+weather_energy.date dim_date.date many-to-one
+monthly_consumption.meter_id dim_meter.meter_id many-to-one
+"""
+
+
 def relationship_rows() -> str:
     parts = []
-    for link in constraints.RELATIONSHIPS:
-        (many, column), (one, key) = link.many, link.one
+    for link in RELATIONSHIPS.strip().splitlines():
+        many_side, one_side, cardinality = link.split()
+        (many, column), (one, key) = many_side.split("."), one_side.split(".")
         value = f"CAST({column} AS DATE)" if key == "date" else column
         repeated_many = (
             f"(SELECT count(*) FROM (SELECT 1 FROM {many} GROUP BY {value} HAVING count(*) > 1))"
-            if link.cardinality == "one-to-one"
+            if cardinality == "one-to-one"
             else "CAST(0 AS BIGINT)"
         )
         parts.append(
-            f"SELECT '{many}.{column}' AS many_side, '{one}.{key}' AS one_side, '{link.cardinality}' AS cardinality, "
+            f"SELECT '{many}.{column}' AS many_side, '{one}.{key}' AS one_side, '{cardinality}' AS cardinality, "
             f"(SELECT count(*) FROM (SELECT 1 FROM {one} GROUP BY {key} HAVING count(*) > 1)) AS repeated_one, "
             f"{repeated_many} AS repeated_many, "
             f"(SELECT count(*) FROM {many} m WHERE NOT EXISTS (SELECT 1 FROM {one} o WHERE o.{key} = {value.replace(column, 'm.' + column)})) "
@@ -459,22 +538,28 @@ def profile_rows(name: str) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+WAREHOUSE = [
+    "dim_meter", "dim_date", "fact_meter_consumption", "fact_hourly_consumption", "fact_daily_consumption",
+    "fact_monthly_consumption", "fact_peak_offpeak", "fact_weather_energy", "energy_summary",
+]
+
 REQUESTS = f"""requests AS (
   SELECT CASE WHEN c_custkey % 53 = 5 THEN 'soon' ELSE
       {text_ts("TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(c_custkey * 7 % 720 AS INTEGER))")} END AS "timestamp",
     CASE WHEN c_custkey % 41 <> 7 THEN {meter_number('c_custkey % 400')} END AS meter_id,
-    CAST(c_custkey % 40 AS DOUBLE) AS temperature,
+    CASE WHEN c_custkey % 37 <> 4 THEN CAST(c_custkey % 40 AS DOUBLE) END AS temperature,
+    c_custkey % 37 = 4 AS warm, c_custkey % 31 = 9 AS high,
     CASE WHEN c_custkey % 29 <> 3 THEN CAST(20 + c_custkey % 60 AS DOUBLE) END AS humidity,
-    CASE WHEN c_custkey % 2 = 0 THEN CAST(231.5 AS DOUBLE) END AS voltage,
     CASE WHEN c_custkey % 11 = 0 THEN CAST(c_custkey % 10 AS DOUBLE) END AS lag_24h
   FROM customer),
 latest AS (SELECT * FROM ml_features QUALIFY row_number() OVER (PARTITION BY meter_id ORDER BY "timestamp" DESC) = 1),
 judged AS (
   SELECT r.*, CASE
-      WHEN r."timestamp" IS NULL OR r.meter_id IS NULL OR r.temperature IS NULL OR r.humidity IS NULL THEN 'missing: ' ||
+      WHEN r."timestamp" IS NULL OR r.meter_id IS NULL OR r.humidity IS NULL THEN 'missing: ' ||
         concat_ws(',', CASE WHEN r."timestamp" IS NULL THEN 'timestamp' END, CASE WHEN r.meter_id IS NULL THEN 'meter_id' END,
-          CASE WHEN r.temperature IS NULL THEN 'temperature' END, CASE WHEN r.humidity IS NULL THEN 'humidity' END)
+          CASE WHEN r.humidity IS NULL THEN 'humidity' END)
       WHEN r."timestamp" = 'soon' THEN 'timestamp not readable'
+      WHEN r.warm OR r.high THEN 'not a number: ' || concat_ws(',', CASE WHEN r.warm THEN 'temperature' END, CASE WHEN r.high THEN 'voltage' END)
       WHEN l.meter_id IS NULL THEN 'unknown meter'
       WHEN coalesce(r.lag_24h, l.lag_24h) IS NULL
         OR NOT ({' AND '.join(f'l.{c} IS NOT NULL' for c in HISTORY_NAMES if c != 'lag_24h')}) THEN 'history too short'
@@ -483,6 +568,34 @@ judged AS (
 """
 
 
+CATALOG = {
+    "bronze_energy_readings": "bronze", "dim_meter_info": "meters", "dim_weather": "weather", "silver_energy_readings": "silver",
+    "gold_hourly_consumption": "hourly_consumption", "gold_daily_consumption": "daily_consumption",
+    "gold_monthly_consumption": "monthly_consumption", "gold_meter_consumption": "meter_consumption",
+    "gold_peak_offpeak_consumption": "peak_offpeak_consumption", "gold_weather_energy": "weather_energy",
+    "gold_predictions": "predictions",
+}
+
+
+def count_rows(label: str, sources: dict[str, str]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS {label}, count(*) AS row_count FROM {source}" for name, source in sources.items())
+
+
+def readiness_rows() -> str:
+    tests = {
+        ("wide_fact", "total_known"): "wide_fact WHERE total_consumption IS NULL",
+        ("wide_fact", "anomaly_flag_domain"): "wide_fact WHERE anomaly_flag IS NULL OR anomaly_flag NOT IN (0, 1)",
+        ("wide_fact", "severity_domain"): "wide_fact WHERE anomaly_severity IS NULL OR anomaly_severity NOT IN ('none', 'low', 'medium', 'high')",
+        ("predictions", "prediction_known"): "predictions WHERE predicted_consumption IS NULL",
+        ("anomalies", "flagged"): "anomalies WHERE anomaly_flag IS DISTINCT FROM 1",
+        ("wide_fact", "unique_hour"): "(SELECT 1 FROM wide_fact GROUP BY date, hour, meter_id HAVING count(*) > 1)",
+        ("wide_fact", "meter_known"): "wide_fact f WHERE meter_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM meters m WHERE m.meter_id = f.meter_id)",
+    }
+    return "\nUNION ALL ".join(
+        f"SELECT '{d}' AS dataset, '{rule}' AS rule, count(*) AS violations FROM {source}" for (d, rule), source in tests.items()
+    )
+
+
 def statements() -> dict[str, str]:
     bodies = {
         "src_raw_csv": "SELECT * EXCLUDE (arrived_at) FROM readings",
@@ -530,6 +643,19 @@ def statements() -> dict[str, str]:
           'Persistence' AS model_name, '1.0.0' AS model_version FROM complete""",
         "anom_zscore": "SELECT * FROM zscore",
         "anom_severity": "SELECT * FROM scored",
+        "ml_train_contract": f"""SELECT m.model_name, t.train_rows, n.n - t.train_rows AS test_rows,
+          CAST({len(MODEL_NUMBERS) + len(HISTORY_NAMES) + 2 * len(WAVES)} + t.levels AS INTEGER) AS feature_count,
+          true AS selected_is_best, CAST(1 AS BIGINT) AS selected_models
+          FROM (VALUES ('LinearRegression'), ('RandomForest'), ('GradientBoosting')) m(model_name),
+            (SELECT count(*) AS n FROM complete) n,
+            (SELECT count(*) AS train_rows, count(DISTINCT meter_type) + count(DISTINCT season)
+              + count(DISTINCT weather_condition) AS levels FROM placed WHERE place <= floor(n * CAST(0.8 AS DOUBLE))) t""",
+        "predictions_fitted_keys": f"""SELECT "timestamp", meter_id, {rnd(E, 4)} AS actual_consumption, true AS error_follows,
+          true AS percentage_is_size FROM holdout""",
+        "anom_iforest_contract": f"""SELECT "timestamp", meter_id, {E}, true AS flag_follows, true AS score_in_range,
+          true AS type_follows FROM silver""",
+        "anomalies_contract": """SELECT unnest(['robust_zscore', 'isolation_forest']) AS detection_method, count(*) AS rows,
+          CAST(0 AS BIGINT) AS wrong_severity FROM silver""",
         "anom_summary": """SELECT 'type' AS facet, anomaly_type AS label, count(*) AS anomalies FROM anomalies GROUP BY anomaly_type
           UNION ALL SELECT 'severity', anomaly_severity, count(*) FROM anomalies GROUP BY anomaly_severity""",
         "anomalies_fact": "SELECT * FROM fact_anomalies",
@@ -602,14 +728,21 @@ def statements() -> dict[str, str]:
         "rep_high_periods": f"""SELECT date, {HOUR_LABEL}, meter_id, total_consumption, {ANOMALY_LABEL} FROM wide_fact
           ORDER BY total_consumption DESC, date, hour_label, meter_id LIMIT 100""",
         "wh_constraints": constraint_rows(),
+        "sink_bronze_days": "SELECT event_date, count(*) AS rows FROM bronze GROUP BY event_date",
+        "sink_silver_days": "SELECT date, count(*) AS rows FROM silver GROUP BY date",
+        "sink_gold_csv": "SELECT * FROM daily_consumption",
+        "dq_strict": " UNION ALL ".join(f"SELECT layer, NOT passed AS raised, failures FROM ({dq_report(x)})" for x in ("bronze", "silver")),
+        "gold_readiness": readiness_rows(),
+        "batch_rows": count_rows("dataset", {n: n for n in (*PROFILES, "ml_features") if n != "anomalies"}),
+        "catalog_rows": count_rows("table_name", CATALOG | {n: sql_name(n) for n in WAREHOUSE} | {"fact_predictions": "fact_predictions"}),
         "fk_orphans": """SELECT f.meter_id AS value, count(*) AS rows FROM fact_daily_consumption f
           LEFT JOIN dim_meter d ON f.meter_id = d.meter_id WHERE d.meter_id IS NULL GROUP BY f.meter_id""",
         "rel_check": relationship_rows(),
     }
     bodies["rep_daily_rolling"] = bodies["metrics_rolling_7d"]
-    for name in profile.REQUIRED_DATASETS:
+    for name in PROFILES:
         bodies[f"profile_{name}"] = profile_rows(name)
-    for table in warehouse.LOAD_PLAN:
+    for table in WAREHOUSE:
         bodies[f"wh_{table}"] = f"SELECT * FROM {sql_name(table)}"
     bodies["wh_fact_predictions"] = "SELECT * FROM fact_predictions"
     found = {name: f"WITH {CTES}\n{_inlined(body)}" for name, body in bodies.items()}

@@ -17,9 +17,17 @@ SETTINGS = {
 }
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Give a session someone else started the settings that the plans count on."""
+    for name, value in SETTINGS.items():
+        if spark.conf.isModifiable(name):
+            spark.conf.set(name, value)
+    return spark
+
+
 def session(app_name: str = "gridloom") -> SparkSession:
-    """The active session as it is, or a new one with the settings above."""
+    """The active session or a new one, either with the settings above."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        return active
+        return settle(active)
     return SparkSession.builder.appName(app_name).config(map=SETTINGS).getOrCreate()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
 from gridloom.operators import anomaly, features, gold, scoring, silver, widefact
+from gridloom.plans.session import settle
 from gridloom.settings import DEFAULTS, Settings
 from gridloom.sources import bundled, feeds, warehouse
 
@@ -21,8 +22,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder, self.settings = spark, folder, settings
+        self.spark, self.folder, self.settings = settle(spark), folder, settings
 
     def table(self, name: str) -> DataFrame:
         return bundled.table(self.spark, self.folder, name)

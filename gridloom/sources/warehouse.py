@@ -66,7 +66,7 @@ ANOMALIES = TablePlan(
 
 def shaped(df: DataFrame, plan: TablePlan) -> DataFrame:
     renamed = df.withColumnsRenamed(dict(plan.renames))
-    return renamed.select(*[c for c in plan.columns if c in renamed.columns]) if plan.columns else renamed
+    return renamed.select(*plan.columns) if plan.columns else renamed
 
 
 def table_frame(gold: Mapping[str, DataFrame], table: str) -> DataFrame:

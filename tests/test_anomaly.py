@@ -5,23 +5,46 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import anomaly, iforest
 
-START = dt.datetime(2023, 1, 1)
-
-
-def one_meter(spark):
-    rng = random.Random(3)
-    rows = [
-        (START + dt.timedelta(hours=h), "MTR-001", h % 24, 30.0 if h == 100 else rng.gauss(3.0, 0.15))
-        for h in range(240)
-    ]
-    return spark.createDataFrame(rows, "timestamp timestamp, meter_id string, hour int, energy_consumption double")
-
-
-def test_spike_is_flagged_and_little_else(spark):
-    found = anomaly.zscore_anomalies(one_meter(spark))
-    spike = found.where(F.col("timestamp") == START + dt.timedelta(hours=100)).first()
-    assert spike["anomaly_flag"] == 1 and spike["anomaly_type"] == "sudden_spike"
-    assert anomaly.flagged_only(found).count() < 20
+START = dt.datetime(2024, 5, 6)
+READINGS = "timestamp timestamp, meter_id string, hour int, energy_consumption double"
+
+
+def test_scores_by_hand(spark):
+    """Hour 4 of one meter: median 10, median distance 2, so a unit is 2 x 1.4826."""
+    values = [8.0, 12.0, 10.0, 7.0, 13.0, 10.0 + 2 * 1.4826 * 7, 10.0 - 2 * 1.4826 * 3.5]
+    rows = [(START + dt.timedelta(days=d, hours=4), "MTR-520", 4, v) for d, v in enumerate(values)]
+    other = [(START + dt.timedelta(days=d, hours=5), "MTR-520", 5, 400.0 + d) for d in range(3)]
+    found = anomaly.zscore_anomalies(spark.createDataFrame(rows + other, READINGS)).orderBy("timestamp")
+    kinds = {r["timestamp"].day - START.day: (r["anomaly_type"], r["anomaly_flag"]) for r in found.where("hour(timestamp) = 4").collect()}
+    median, spread = 10.0, sorted(abs(v - 10.0) for v in values)[3] * 1.4826
+    assert spread > 0
+    for day, value in enumerate(values):
+        score = (value - median) / spread
+        flag = int(abs(score) >= 3)
+        kind = "normal" if not flag else "low_consumption" if score < 0 else "sudden_spike" if score >= 6 else "high_consumption"
+        assert kinds[day] == (kind, flag)
+    assert found.where("hour(timestamp) = 5 AND anomaly_flag = 1").isEmpty()
+
+
+def test_one_hour_of_one_meter_with_most_values(spark):
+    """Medians over range-cut values equal those of whole groups."""
+    number = F.col("id")
+    rows = spark.range(30_000).select(
+        (F.lit(START) + F.make_dt_interval(secs=number)).alias("timestamp"),
+        F.when(number % 50 == 0, "MTR-002").otherwise("MTR-001").alias("meter_id"),
+        F.lit(7).alias("hour"),
+        F.round(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1000.0, 3).alias("energy_consumption"),
+    )
+    centre = rows.groupBy("meter_id").agg(F.percentile("energy_consumption", F.lit(0.5)).alias("c"))
+    spread = (
+        rows.join(centre, "meter_id").groupBy("meter_id", "c").agg(F.percentile(F.abs(F.col("energy_consumption") - F.col("c")), F.lit(0.5)).alias("s"))
+    )
+    wanted = rows.join(spread, "meter_id").select(
+        "timestamp", F.round((F.col("energy_consumption") - F.col("c")) / (F.col("s") * 1.4826), 3).alias("z")
+    )
+    found = anomaly.zscore_anomalies(rows).select("timestamp", F.round("anomaly_score", 3).alias("y"))
+    assert found.join(wanted, "timestamp").where("abs(y - z) > 0.0011").isEmpty()
+    assert found.count() == 30_000
 
 
 def test_zero_spread_scores_zero(spark):
@@ -71,15 +94,6 @@ def test_samples_have_the_exact_size(workspace):
     assert [r["count"] for r in whole.groupBy("tree").count().collect()] == [rows] * 2
 
 
-def test_large_inputs_draw_from_a_pool(workspace, monkeypatch):
-    monkeypatch.setattr(iforest, "POOL_ROWS", 600)
-    key = ["meter_id", "timestamp"]
-    drawn = iforest.drawn_samples(workspace.silver, key, workspace.silver.count(), 20, 100, 42).cache()
-    assert [r["count"] for r in drawn.groupBy("tree").count().collect()] == [100] * 20
-    assert drawn.select(*key).distinct().count() < 700
-    drawn.unpersist()
-
-
 def test_both_detectors_together(workspace):
     together = anomaly.combined(
         anomaly.zscore_anomalies(workspace.silver),

@@ -72,12 +72,15 @@ def test_only_absent_columns_are_added_with_full_frames(spark):
 
 
 def test_cycles(spark):
-    df = spark.createDataFrame([(0, 1, 1), (6, 6, 3), (12, 12, 7)], "hour int, month int, day_of_week int")
-    rows = features.with_cycles(df).collect()
-    for row in rows:
-        assert row["hour_sin"] ** 2 + row["hour_cos"] ** 2 == pytest.approx(1)
-        assert all(-1 <= row[f"{p}_{w}"] <= 1 for p in features.CYCLES for w in ("sin", "cos"))
-    assert rows[1]["hour_sin"] == pytest.approx(1)
+    """Neighbours across the end of a cycle are as far apart as any other neighbours."""
+    df = spark.range(24).select(
+        F.col("id").cast("int").alias("hour"), (F.col("id") % 12 + 1).cast("int").alias("month"), (F.col("id") % 7 + 1).cast("int").alias("day_of_week")
+    )
+    rows = features.with_cycles(df).orderBy("hour").collect()
+    for prefix, period in (("hour", 24), ("month", 12), ("dow", 7)):
+        points = [np.array([r[f"{prefix}_sin"], r[f"{prefix}_cos"]]) for r in rows[:period]]
+        steps = [np.linalg.norm(points[k] - points[k - 1]) for k in range(period)]
+        assert max(steps) == pytest.approx(min(steps)) == pytest.approx(2 * np.sin(np.pi / period))
 
 
 def test_matrix_has_every_level_once(workspace):
@@ -87,8 +90,13 @@ def test_matrix_has_every_level_once(workspace):
     assert len(matrix.columns) == width + 3
     one_hot = sum(F.col(f"meter_type_{v}") for v in levels["meter_type"])
     assert matrix.where(one_hot != 1).count() == 0
-    with pytest.raises(ValueError):
-        features.category_levels(workspace.silver, limit=2)
+
+
+def test_three_hundred_levels_are_all_columns(spark, workspace):
+    many = workspace.features.withColumn("weather_condition", F.concat(F.lit("sky "), (F.xxhash64("timestamp", "meter_id") % 300).cast("string")))
+    levels = features.category_levels(many)
+    assert len(levels["weather_condition"]) > 200
+    assert levels["weather_condition"] == sorted(levels["weather_condition"])
 
 
 @pytest.mark.parametrize("test_size", [0.2, 0.25, 0.5, 0.0, 1.0])
@@ -106,8 +114,7 @@ def test_split_equals_sorting_everything(spark, test_size):
     assert sorted(map(tuple, test.collect())) == ordered[cut:]
 
 
-def test_split_with_all_rows_at_one_moment(spark, monkeypatch):
-    monkeypatch.setattr(split, "TOP_K_ROWS", 5)  # force the distributed way
+def test_split_with_all_rows_at_one_moment(spark):
     rows = [(dt.datetime(2023, 1, 1), f"MTR-{i:03d}") for i in range(200)]
     df = spark.createDataFrame(rows, "timestamp timestamp, meter_id string")
     boundary = split.find_boundary(df, 0.2)

@@ -18,19 +18,30 @@ def test_clean_rows_pass(spark):
     assert report["total_rows"] == 2 and report["passed"] and report["failures"] == ""
 
 
-def test_dirty_rows_are_counted(spark):
-    df = frame(
-        spark,
-        (NINE, "MTR-001", None, 230.0, 6.0, 0.9),
-        (NINE, "MTR-001", 2.0, 230.0, 6.0, 0.9),
-        (NINE, "BAD", 2.0, 999.0, 6.0, 0.9),
-    )
+@pytest.mark.parametrize(
+    "change, check, fails",
+    [
+        ({"meter_id": "MTR-12"}, "invalid_meter_id", True),
+        ({"energy_consumption": 100.5}, "invalid_energy", True),
+        ({"energy_consumption": None}, "null_energy_consumption", True),
+        ({"timestamp": None}, "null_timestamp", True),
+        ({"current": -0.1}, "invalid_current", False),
+        ({"voltage": 179.9}, "invalid_voltage", False),
+        ({"power_factor": 0.49}, "invalid_power_factor", False),
+    ],
+)
+def test_one_fault_among_good_rows(spark, change, check, fails):
+    good = {"timestamp": NINE, "meter_id": "MTR-700", "energy_consumption": 8.25, "voltage": 200.0, "current": 40.0, "power_factor": 0.7}
+    others = [good | {"meter_id": f"MTR-{n}"} for n in range(701, 705)]
+    df = frame(spark, *(tuple(row.values()) for row in [good | change, *others]))
     report = quality.quality_report(df, "bronze").first()
-    assert report["null_energy_consumption"] == 1
-    assert report["duplicate_rows"] == 1
-    assert report["invalid_meter_id"] == 1
-    assert report["invalid_voltage"] == 1
-    assert "voltage" not in report["failures"] and not report["passed"]
+    assert report[check] == 1 and report["duplicate_rows"] == 0
+    assert report["passed"] != fails and (check in report["failures"]) == fails
+
+
+def test_a_key_sent_five_times_is_one_repeated_key(spark):
+    rows = [(NINE, "MTR-801", float(k), 230.0, 6.0, 0.9) for k in range(5)]
+    assert quality.quality_report(frame(spark, *rows), "bronze").first()["duplicate_rows"] == 1
 
 
 def test_missing_values_are_neither_inside_nor_outside(spark):

@@ -23,11 +23,14 @@ def metrics(spark, pairs):
     return scoring.regression_metrics(df, "a", "p").first().asDict()
 
 
-def test_metrics_of_perfect_and_shifted_forecasts(spark):
-    perfect = metrics(spark, [(float(i), float(i)) for i in range(1, 5)])
-    assert perfect == {"mae": 0.0, "mse": 0.0, "rmse": 0.0, "r2": 1.0}
-    shifted = metrics(spark, [(float(i), i + 1.0) for i in range(1, 5)])
-    assert (shifted["mae"], shifted["rmse"]) == (1.0, 1.0)
+def test_metrics_by_hand(spark):
+    """Errors 3, -1, 0 and 2 around actuals 2, 6, 10 and 30 (mean 12, variance 116)."""
+    found = metrics(spark, [(2.0, 5.0), (6.0, 5.0), (10.0, 10.0), (30.0, 32.0)])
+    assert found == {"mae": 1.5, "mse": 3.5, "rmse": round(3.5**0.5, 5), "r2": round(1 - 3.5 / 116, 5)}
+
+
+def test_forecasting_the_mean_explains_nothing(spark):
+    assert metrics(spark, [(1.0, 4.0), (7.0, 4.0)])["r2"] == 0.0
 
 
 def test_error_columns(spark):
@@ -91,6 +94,28 @@ def test_requests_are_scored_or_rejected_with_a_reason(spark, table):
     ]
 
 
+def test_fields_that_are_no_numbers_are_rejected(spark, table):
+    known = table.dropna(subset=features.history_names()).agg(F.max("meter_id")).first()[0]
+    rows = [
+        ("2024-01-01 10:00:00", known, "10.5", "50", None), ("2024-01-01 11:00:00", known, "warm", "50", None),
+        ("2024-01-01 12:00:00", known, "1", "50", "x"), ("2024-01-01 13:00:00", known, "NaN", "wet", "230"),
+    ]
+    asked = spark.createDataFrame(rows, "timestamp string, meter_id string, temperature string, humidity string, voltage string")
+    answers, rejected = scoring.predict_requests(asked, table, scoring.Persistence())
+    assert [r["timestamp"].hour for r in answers.collect()] == [10]
+    assert {(r["timestamp"][11:13], r["reason"]) for r in rejected.collect()} == {
+        ("11", "not a number: temperature"), ("12", "not a number: voltage"), ("13", "not a number: temperature,humidity"),
+    }
+
+
+def test_a_meter_without_voltage_trains_and_scores(table):
+    meter = table.dropna(subset=features.history_names()).agg(F.min("meter_id")).first()[0]
+    holes = table.withColumn("voltage", F.when(F.col("meter_id") != meter, F.col("voltage")))
+    best = models.train(holes, sizes=SIZES).best
+    scored = best.transform(features.model_rows(holes).where(F.col("meter_id") == meter))
+    assert scored.count() > 0 and scored.where("prediction IS NULL OR isnan(prediction)").isEmpty()
+
+
 def test_recomputed_lags_follow_the_last_reading(spark, table):
     known = table.dropna(subset=features.history_names()).agg(F.max("meter_id")).first()[0]
     history = table.where(F.col("meter_id") == known).orderBy(F.desc("timestamp")).limit(24).collect()
