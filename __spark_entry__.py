@@ -235,29 +235,34 @@ def _readiness(ws: Workspace) -> DataFrame:
     return constraints.check_readiness({n: stored(ws.gold(n), n) for n in names}, ws.meters)
 
 
-def _batch(ws: Workspace) -> tuple[str, dict]:
-    """The whole batch over the given tables, scoring with the model trained at full size."""
+@cache
+def _batch_at(application: str, folder: str) -> tuple[dict, list[tuple[str, int]]]:
+    """The whole batch over the given tables with a saved linear model, which is trained in seconds.
+
+    Its summary, and the rows of every table read through the catalog; anomalies depend on the forest and are left out.
+    """
+    ws = Workspace(SparkSession.getActiveSession(), folder)
     base = fresh_path(ws.spark, "batch")
-    feeds.write_feeds(bundled.feeds(ws.spark, ws.folder), f"{base}/raw")
-    models.save(_training(ws), f"{base}/models")
+    feeds.write_feeds(bundled.feeds(ws.spark, folder), f"{base}/raw")
+    models.save(models.train(ws.shared.feature_table, names=("LinearRegression",)), f"{base}/models")
     database = f"gridloom_{base[-12:]}"
-    return database, batch.run_batch(ws.spark, base, train=False, database=database)
+    summary = batch.run_batch(ws.spark, base, train=False, database=database)
+    names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"]) if "anomalies" not in n]
+    rows = [(n, ws.spark.table(f"{database}.{n}").count()) for n in names]
+    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
+    return summary, rows
 
 
 def _batch_rows(ws: Workspace) -> DataFrame:
-    """Rows of every gold data set but anomalies, which depend on the forest."""
-    database, summary = _batch(ws)
-    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
+    """Rows of every gold data set the batch reports."""
+    summary, _ = _batch_at(ws.spark.sparkContext.applicationId, ws.folder)
     rows = [(name, n) for name, n in summary["gold"].items() if name != "anomalies"]
     return ws.spark.createDataFrame(rows, "dataset string, row_count long")
 
 
 def _catalog_rows(ws: Workspace) -> DataFrame:
-    """Rows of the registered layer tables, and of the loaded star schema, read through the catalog."""
-    database, summary = _batch(ws)
-    names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"]) if "anomalies" not in n]
-    rows = [(n, ws.spark.table(f"{database}.{n}").count()) for n in names]
-    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
+    """Rows of the registered layer tables and of the loaded star schema."""
+    _, rows = _batch_at(ws.spark.sparkContext.applicationId, ws.folder)
     return ws.spark.createDataFrame(rows, "table_name string, row_count long")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -111,8 +111,9 @@ def train(
     sizes: ModelSizes = ModelSizes(),
     *,
     sample_rows: int | None = None,
+    names: Collection[str] | None = None,
 ) -> Training:
-    """Fit every candidate on the earlier rows, compare them on the later ones, pick by RMSE.
+    """Fit every candidate (or those in ``names``) on the earlier rows, compare them on the later ones, pick by RMSE.
 
     Encoding is learnt on the earlier rows and applied once; all three fits read the stored vectors.
     """
@@ -129,6 +130,8 @@ def train(
 
     fitted, results = {}, []
     for name, pipeline in candidates(settings, sizes).items():
+        if names is not None and name not in names:
+            continue
         model = pipeline.fit(seen)
         fitted[name] = FittedForecast(name, PipelineModel([*encoder.stages, *model.stages]))
         scored = model.transform(unseen)
