@@ -10,7 +10,7 @@ A document is the set of its distinct word shingles; two link when ``100 * inter
 * **Prefixes.** Of n shingles in that order, two linked sets share one among their first ``n - ceil(n * percent / 100) + 1``.
   Shingles that only one document has can't be shared; documents whose prefix has no other are done.
 * **Groups.** Nodes of the same size with the same prefix form a group, which is posted once per shingle of its
-  prefix. Pairs of groups are filtered by size and by how many shingles their prefixes share, then expanded to nodes
+  prefix. Pairs of groups are filtered by size and by the places of the shared shingle, then expanded to nodes
   and verified on their whole sets.
 * **Links, not pairs.** A shingle's posting list can be as long as a group of near copies, so first every node is verified
   against ``STARS`` pivots of each list only, and against the first node of its group. For ``TURNS`` rounds, nodes outside the
@@ -45,7 +45,7 @@ from gridloom.llm.word_encoder import slices
 WORDS = 5
 PERCENT = 75
 STARS = 2  # pivots of each posting list that its nodes are verified against first
-TURNS = 2  # rounds in which nodes outside a list's largest component are verified against some inside it
+TURNS = 1  # rounds in which nodes outside a list's largest component are verified against some inside it
 TRIES = 12  # partners of a group in each of those rounds
 CHUNK_BYTES = 10 << 20
 CUT = 24  # low bits left out where frequencies are counted
@@ -257,14 +257,14 @@ def _fits(one: str, other: str, percent: int):
     return small * 100 >= large * percent
 
 
-def _enough(shared: str, one: str, other: str, percent: int):
-    """Whether two sets with ``shared`` common shingles in their prefixes can have the overlap that a link needs.
+def _room(a: str, b: str, percent: int):
+    """Whether the places of a shared shingle leave enough for the overlap that a link needs.
 
-    Take the set whose prefix ends first in the global order: its prefix meets the other set in the other's prefix only, so
-    the overlap is at most the shared shingles and all behind that prefix.
+    The first shared shingle of a link never lies too far back, and one shingle that passes is enough for
+    a pair to be verified, so the filter loses nothing.
     """
-    behind = [F.ceil(F.col(n) * percent / 100) - 1 for n in (one, other)]
-    return (F.col(shared) + F.greatest(*behind)) * (100 + percent) >= (F.col(one) + F.col(other)) * percent
+    left = 1 + F.least(F.col(f"{a}n") - F.col(f"{a}place") - 1, F.col(f"{b}n") - F.col(f"{b}place") - 1)
+    return left * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
 
 
 def _stars(posts: DataFrame, members: DataFrame, heads: DataFrame, stars: int, percent: int) -> DataFrame:
@@ -322,10 +322,11 @@ def _expanded(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return expanded.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _side(contested: DataFrame, name: str, *more: str) -> DataFrame:
+def _side(contested: DataFrame, name: str) -> DataFrame:
     return contested.select(
-        "token", F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"), *more
-    )
+        "token", F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
+        F.col("place").alias(f"{name}place"),
+    )
 
 
 def _towards_largest(
@@ -360,18 +361,12 @@ def _towards_largest(
 def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes that share a posted shingle, may be similar, and are in different components."""
     named, contested = _contested(posts, members, labels)
-    one = F.struct("ag", "ar", "an", "bg", "br", "bn")
-    other = F.struct(*(F.col(x).alias(y) for x, y in zip(("bg", "br", "bn", "ag", "ar", "an"), ("ag", "ar", "an", "bg", "br", "bn"), strict=True)))
     met = (
         _side(contested.where("root != top"), "a")
-        .join(_side(contested, "b", "top"), "token")
-        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent))
-        .where((F.col("br") == F.col("top")) | (F.col("ag") < F.col("bg")))  # a pair once a list
-        .select(F.when(F.col("ag") < F.col("bg"), one).otherwise(other).alias("p"))
-        .groupBy("p")
-        .agg(F.count("*").alias("shared"))
-        .where(_enough("shared", "p.an", "p.bn", percent))
-        .select("p.ag", "p.ar", "p.bg", "p.br")
+        .join(_side(contested, "b"), "token")
+        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent) & _room("a", "b", percent))
+        .select("ag", "ar", "bg", "br")
+        .distinct()
     )
     # Nodes of one group in different components share their whole prefix.
     inside = named.select(F.col("grp").alias("ag"), F.col("root").alias("ar")).distinct()
