@@ -8,8 +8,11 @@ seed and its source's rate: partitions, retries and other documents of the sourc
 
 Weights are a parameter. Sources without a weight (null among them) share ``other``; shares are scaled to sum
 to one over the sources present. The rate of a source is the only thing sent to the tasks, for the sources
-the parameter names and one value for the rest, so its size is the parameter's. Rates beyond ``MAX_RATE`` are
-refused: such a target asks for a source to be repeated beyond use.
+the parameter names and one value for the rest, so its size is the parameter's.
+
+Any rate is drawn exactly. Up to ``ONE_DRAW`` one number is put through the inverse; beyond it the first term of the
+distribution underflows, so the count is the sum of independent draws of equal rates below that, each from a number of its
+own hash. Sums of Poisson counts are Poisson. The expected SQL holds up to that rate; its own first term underflows beyond.
 
 Null doc_id hashes like an empty string. Repeated rows of a document are repeated alike. Texts of any length
 are carried along. An empty table stays empty. Other columns pass through; ``copy`` and ``mix_key`` replace
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import table
 
 SEED = "mix-1"
-MAX_RATE = 200.0
+MAX_RATE = 200.0  # of ``rates`` alone; ``mixed`` has no highest rate
+ONE_DRAW = 700.0  # exp(-rate) is still a normal double
+COPIES = 4096  # copies of a document numbered by one array
 #: Production target: the twenty feeds alike, whatever their size; anything else together counts as one feed.
 WEIGHTS = {f"src{k}": 1.0 for k in range(20)}
 OTHER = 1.0
@@ -46,13 +51,18 @@ def cumulative(rate: float) -> list[float]:
     return found
 
 
-def rates(counts: Mapping[str | None, int], weights: Mapping[str, float], other: float, size: float) -> dict:
+def any_rates(counts: Mapping[str | None, int], weights: Mapping[str, float], other: float, size: float) -> dict:
     """Mean repetitions for each named source present, and under None for all others."""
     named = {s: n for s, n in counts.items() if s in weights and n}
     rest = sum(n for s, n in counts.items() if s not in weights)
     wanted = {s: weights[s] for s in named} | ({None: other} if rest else {})
     whole = sum(wanted.values())
-    found = {s: w / whole * size / (named[s] if s is not None else rest) for s, w in wanted.items()} if whole else {}
+    return {s: w / whole * size / (named[s] if s is not None else rest) for s, w in wanted.items()} if whole else {}
+
+
+def rates(counts: Mapping[str | None, int], weights: Mapping[str, float], other: float, size: float) -> dict:
+    """The same for callers who want high rates refused; no query does."""
+    found = any_rates(counts, weights, other, size)
     if any(r > MAX_RATE for r in found.values()):
         raise ValueError(f"a source would be repeated over {MAX_RATE:g} times: {found}")
     return found
@@ -68,12 +78,23 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def _draws(u: Column, rate: float) -> Column:
+def _inverse(u: Column, rate: float) -> Column:
     """The inverse of the Poisson distribution at ``u``: how many cumulative values lie at or below it."""
     steps = F.array(*(F.lit(x) for x in cumulative(rate)))
     return F.size(F.filter(steps, lambda x: x <= u))
 
 
+def _draws(seed: str, rate: float) -> Column:
+    """How often a document of that rate appears."""
+    if rate <= ONE_DRAW:
+        return _inverse(uniform(seed, _id()), rate)
+    parts = math.ceil(rate / ONE_DRAW)
+    numbers = F.sequence(F.lit(0), F.lit(parts - 1))
+    return F.aggregate(
+        numbers, F.lit(0), lambda total, k: total + _inverse(uniform(seed, "part", k, _id()), rate / parts)
+    )
+
+
 def mixed(
     docs: DataFrame,
     weights: Mapping[str, float] = WEIGHTS,
@@ -84,13 +105,15 @@ def mixed(
     """All copies in shuffled order, with ``copy`` (from 0) and ``mix_key``."""
     named = F.when(F.col("source").isin(list(weights)), F.col("source"))
     counts = {r[0]: r[1] for r in docs.groupBy(named.alias("s")).count().collect()}  # one row a named source
-    wanted = rates(counts, weights, other, epochs * sum(counts.values()))
-    u = uniform(seed, _id())
+    wanted = any_rates(counts, weights, other, epochs * sum(counts.values()))
     copies = F.lit(0)
     for source, rate in wanted.items():
-        copies = F.when(named.isNull() if source is None else named == source, _draws(u, rate)).otherwise(copies)
-    numbers = F.when(copies > 0, F.sequence(F.lit(0), copies - 1))  # null, and so no row, for none
-    repeated = docs.withColumn("copy", F.explode(numbers))
+        copies = F.when(named.isNull() if source is None else named == source, _draws(seed, rate)).otherwise(copies)
+    # Blocks of copies, then the copies of a block: no array grows with the rate.
+    drawn = docs.withColumn("__copies", copies).where("__copies > 0")
+    blocks = drawn.withColumn("__first", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__copies") - 1, F.lit(0)), F.lit(COPIES))))
+    last = F.least(F.col("__first") + COPIES, F.col("__copies")) - 1
+    repeated = blocks.withColumn("copy", F.explode(F.sequence("__first", last))).drop("__copies", "__first")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), _id(), F.col("copy").cast("string")))
     return repeated.withColumn("mix_key", key).orderBy("mix_key", "doc_id", "copy")
 

@@ -50,3 +50,38 @@ def test_empty_tables_clashes_and_excess(spark):
     assert awkward()
     with pytest.raises(ValueError):
         mixing.rates({"a": 1, "b": 100_000}, {"a": 1.0, "b": 1.0}, 1.0, 100_001)
+
+
+def against_sql(spark, rows):
+    con = duckdb.connect()
+    docs = frame(spark, rows).toPandas()
+    docs["doc_id"], docs["n_chars"] = docs["doc_id"].astype("Int64"), docs["n_chars"].astype("Int64")
+    con.register("documents", docs)
+    wanted = con.execute(mixing.expected_sql()).fetchall()
+    found = list(map(tuple, mixing.mixed(frame(spark, rows)).collect()))
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
+    return found
+
+
+def test_one_row_without_a_source_among_ten_thousand(spark):
+    rows = [(k, "x", "en", f"src{k % 20}", 1) for k in range(10_000)] + [(10_000, "lone", "en", None, 4)]
+    lone = sum(r[3] is None for r in against_sql(spark, rows))
+    assert abs(lone - 10_001 / 21) < 5 * math.sqrt(10_001 / 21)
+
+
+def test_a_source_of_three_rows(spark):
+    rows = [(k, "x", "en", "src19" if k < 3 else f"src{k % 19}", 1) for k in range(20_000)]
+    few = sum(r[3] == "src19" for r in against_sql(spark, rows))
+    assert abs(few - 1000) < 5 * math.sqrt(1000)
+
+
+def test_rates_of_any_height_keep_mean_and_spread(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("a").alias("source"))
+    found = mixing.mixed(docs, {"a": 1.0}, epochs=5000.0).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")
+    )
+    sizes = [(r["n"], r["d"], r["m"]) for r in found.collect()]
+    assert len(sizes) == 400 and all(n == d == m + 1 for n, d, m in sizes)
+    mean = sum(n for n, _, _ in sizes) / 400
+    spread = sum((n - mean) ** 2 for n, _, _ in sizes) / 399
+    assert abs(mean - 5000) < 5 * math.sqrt(5000 / 400) and 0.6 < spread / 5000 < 1.5
