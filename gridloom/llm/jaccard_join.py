@@ -28,6 +28,7 @@ named by their smallest doc_id. Empty table: no rows. Other columns are ignored,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,8 @@ CUT = 24  # low bits left out where frequencies are counted
 PLANES = 5  # bytes that hold a 40-bit difference
 U64 = np.uint64
 ROWS = (
-    "kind string, doc_id long, n_shingles long, node string, grp string, token long, place long, shingles binary"
+    "kind string, doc_id long, n_shingles long, node string, grp string, token long, place long, shingles binary,"
+    " digest binary"
 )
 
 
@@ -194,8 +196,8 @@ def _posted(chunk: pa.Table, answers: pa.Table, words: int, percent: int) -> pa.
         for name, cells in out.items():
             cells.append(given.get(name))
 
-    for key, n, name in rows:
-        add(kind="row", doc_id=key, n_shingles=n, node=name)
+    for (key, n, name), text in zip(rows, chunk.column("text"), strict=True):
+        add(kind="row", doc_id=key, n_shingles=n, node=name, digest=hashlib.md5(text.as_buffer()).digest())
     seen = set()
     for name, one in sets.items():
         n = len(one)
@@ -211,7 +213,7 @@ def _posted(chunk: pa.Table, answers: pa.Table, words: int, percent: int) -> pa.
             seen.add(group)
             for place in np.nonzero(often[first] > 1)[0].tolist():
                 add(kind="post", grp=group, n_shingles=n, place=place, token=int(prefix[place].view(np.int64)))
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
@@ -220,7 +222,9 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     mine = documents(docs)
     volume = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-volume // CHUNK_BYTES))
-    chunks = mine.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    # A null adds nothing to the hash: documents without a number are dealt by their text.
+    dealt = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    chunks = mine.withColumn("part", F.pmod(dealt, F.lit(parts)).cast("int")).repartition(parts, "part")
     sent = chunks.groupBy("part").applyInArrow(
         lambda t: _sent(t, words, parts), "bucket int, part int, tokens binary"
     )
@@ -377,12 +381,10 @@ def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent:
     return _expanded(stored(met.union(apart), "group-pairs"), named)
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS, turns: int = TURNS
-) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def _rooted(docs: DataFrame, words: int, percent: int, stars: int, turns: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with words, each with the name of its component (``root``) and a digest of its text, and those without."""
     found = postings(docs, words, percent)
-    rows = found.where("kind = 'row'").select("doc_id", "n_shingles", "node")
+    rows = found.where("kind = 'row'").select("doc_id", "n_shingles", "node", "digest")
     worth = found.where("kind = 'node'").select("node", "grp", "n_shingles", "shingles")
     nodes = stored(worth.dropDuplicates(["node"]), "nodes")
     posts = found.where("kind = 'post'").select("token", "grp", F.col("n_shingles").alias("n"), "place")
@@ -403,25 +405,39 @@ def near_duplicates(
     named = stored(
         rows.where("node is not null")
         .join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")),
+        .select("doc_id", "n_shingles", "digest", F.coalesce("root", "node").alias("root")),
         "labelled",
     )
+    return named, rows.where("node is null")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS, turns: int = TURNS
+) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+    named, wordless = _rooted(docs, words, percent, stars, turns)
     lowest = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
     linked = named.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = wordless.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone)
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The row with the smallest doc_id of each component, with all its columns; rows without words all stay.
+    """One row of each component, with all its columns: of the smallest doc_id; rows without words all stay.
 
-    Of rows repeated with that doc_id one stays; rows without a doc_id stay if no row of their component has one.
+    A row is known by doc_id and text, never by doc_id alone: unlinked texts under one doc_id, or without one, all
+    stay. A row without a doc_id stands for its component only if no row of it has one. Ties: the smallest digest of the
+    text; of equal rows one stays.
     """
-    found = near_duplicates(docs, words, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    hits = docs.join(stored(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeat = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return hits.withColumn("__repeat", repeat).where("__repeat = 1").select(*docs.columns)
+    named, _ = _rooted(docs, words, percent, STARS, TURNS)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"))
+    kept = stored(first.select(F.col("row.doc_id").alias("__id"), F.col("row.digest").alias("__kept")), "kept")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
+    mine = docs.where(worded).withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    hits = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("text"))
+    one = hits.withColumn("__repeat", repeat).where("__repeat = 1").select(*docs.columns)
+    return one.union(docs.where(~worded))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,27 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 9, 10, 11, 12, None], key=str)
 
 
+def test_rows_without_or_with_the_same_doc_id_keep_their_own_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 500)
+    text = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    near = text("a") + " end"
+    rows = [
+        (None, text("b")), (None, text("c")), (None, text("d")), (None, text("d") + " end"),  # d: one of two near copies
+        (None, text("a")), (7, near),  # a row with a doc_id stands for the component
+        (9, text("e")), (9, text("f")), (9, text("f")), (8, text("e") + " end"),
+        (None, ""), (None, " "), (None, None), (3, "\x0b\x0c"), (None, ""),
+    ]
+    df = frame(spark, [(*r, None, None, None) for r in rows]).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each_group(df).collect()]
+    of_d = [r for r in kept if r[1] and r[1].startswith("d0 ")]
+    assert len(of_d) == 1 and of_d[0] in rows
+    kept.remove(of_d[0])
+    wanted = [rows[0], rows[1], (7, near), (8, text("e") + " end"), (9, text("f")), *rows[10:]]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+    found = jaccard_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+
+
 def test_a_third_of_all_rows_alike(spark):
     text = " ".join(f"w{k}" for k in range(40))
     hot = spark.range(1500).select(
