@@ -63,6 +63,7 @@ class Page:
         self.tag, self.parent, self.cut, self.bonus = ["#"], [0], [False], [0]
         self.runs: list[tuple[int, int, str]] = []  # element, block, text
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # where the open elements of each tag are in ``open``
         self.block = 0
         self._blocks = 0
         self._parse(source)
@@ -129,23 +130,28 @@ class Page:
         self.cut.append(cut)
         self.bonus.append(bonus)
         if not attributes.endswith("/") or tag not in RAW:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
+    def _nearest(self, kinds: set[str]) -> int:
+        return max((self.places[t][-1] for t in kinds if self.places.get(t)), default=0)
+
+    def _leave(self, k: int) -> None:
+        """End the open elements from the k-th on; each is ended once, so time stays in proportion to the page."""
+        for e in self.open[k:]:
+            self.places[self.tag[e]].pop()
+        del self.open[k:]
+
     def _end_of(self, kinds: set[str], scope: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] in kinds:
-                del self.open[k:]
-                return
-            if self.tag[self.open[k]] in scope:
-                return
+        k = self._nearest(kinds)
+        if k > self._nearest(scope):
+            self._leave(k)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._break()
-        for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
-            if self.tag[self.open[k]] == tag:
-                del self.open[k:]
-                return
+        if k := self._nearest({tag}):
+            self._leave(k)
 
 
 def _judged(attributes: str) -> tuple[bool, int]:

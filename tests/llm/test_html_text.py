@@ -55,3 +55,16 @@ def test_every_given_page_has_a_text_without_its_frame(spark):
     for r in found:
         assert r["n_chars"] == len(r["text"]) > 0
         assert "track(" not in r["text"] and "margin:0" not in r["text"] and "©" not in r["text"]
+
+
+@pytest.mark.parametrize("inner", ["<b>" * 300, "<ul><li>x" * 300, "<b>" * 50_000])
+def test_closing_tags_count_at_any_depth(inner):
+    page = f"<nav>{inner}</nav><article><p>{LONG}</p></article>"
+    assert html_text.main_text(page) == LONG
+    page = f"<article><p>{LONG}</p>{inner}</article><div><p>{LONG * 3}</p></div>"
+    assert html_text.main_text(page).count("This sentence") == 1
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "<li>x</li>" * 30_000, ("<b>" * 10 + "</i>") * 20_000])
+def test_deep_stacks_take_time_in_proportion(page):
+    assert len(html_text.main_text(page)) <= len(page)
