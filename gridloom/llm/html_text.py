@@ -3,7 +3,13 @@
 Paragraphs pass points for length and commas to their ancestors, the parent most; a container's points are
 discounted by its link density. The best container, the article around it, and siblings that score well or read like
 text are kept. Elements that are never text of an article (scripts, forms, navigation, adverts, comments, ...) are cut out
-first, by tag, role and the words of class and id.
+first, by tag, role and the names in class and id.
+
+**Names** count whole: a name is of boilerplate if it is one of ``CUT_WORDS``, or made of those and of ``NEUTRAL`` words only
+(``site-header``), never for a part of it (``has-sidebar``). An element so named stays if it also bears a name made of
+``GOOD_WORDS``, contains ``main``, contains ``article`` and is in none, or holds most of the page's text out of links. For names
+of discussions (``TALK``) only the first two reasons count, as comments can be longer than the article and articles
+themselves. If nothing is left, names are ignored.
 
 A page is parsed by one forward scan into a flat list of elements, so neither deep nesting nor unclosed tags, quotes or
 comments cost more than time in proportion to the page. Character references are decoded; white space inside a block becomes one
@@ -41,6 +47,16 @@ CUT_WORDS = frozenset(
     "reply replies share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup login popup modal overlay widget toolbar pagination pager skip hidden paywall".split()
 )
+TALK = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+NEUTRAL = frozenset(
+    "site top bottom left right primary secondary global inner area bar block box buttons button column container group "
+    "items item links link list panel posts section slot unit wrap wrapper widgets form icons".split()
+)
+COMPOUNDS = frozenset(
+    "main-nav main-menu main-navigation page-footer post-footer entry-footer article-footer post-navigation post-comments "
+    "article-comments blog-sidebar visually-hidden is-hidden".split()
+)
+MOST = 0.6  # share of the page's text out of links that a wrapper of the article holds
 GOOD_WORDS = frozenset("article body content entry main post text story blog page".split())
 START_POINTS = {"article": 25, "main": 15, "div": 5, "section": 3, "td": 3, "blockquote": 3, "pre": 3}
 START_POINTS |= dict.fromkeys("ul ol li dl dd dt address".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
@@ -61,6 +77,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut, self.bonus = ["#"], [0], [False], [0]
+        self.named: dict[int, bool] = {}  # elements with a name of boilerplate; True for discussions
         self.runs: list[tuple[int, int, str]] = []  # element, block, text
         self.open = [0]
         self.places: dict[str, list[int]] = {}  # where the open elements of each tag are in ``open``
@@ -120,8 +137,9 @@ class Page:
         if tag in CLOSES:
             self._end_of(*CLOSES[tag])
         cut, bonus = self.cut[self.open[-1]] or tag in CUT_TAGS, START_POINTS.get(tag, 0)
+        named = None
         if attributes and tag not in ("html", "body"):
-            more, points = _judged(attributes)
+            more, points, named = _judged(attributes)
             cut, bonus = cut or more and tag not in ("article", "main"), bonus + points
         if tag in VOID:
             return
@@ -129,6 +147,8 @@ class Page:
         self.parent.append(self.open[-1])
         self.cut.append(cut)
         self.bonus.append(bonus)
+        if named is not None and tag not in ("article", "main"):
+            self.named[len(self.tag) - 1] = named
         if not attributes.endswith("/") or tag not in RAW:
             self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tag) - 1)
@@ -154,22 +174,63 @@ class Page:
             self._leave(k)
 
 
-def _judged(attributes: str) -> tuple[bool, int]:
-    """Whether class, id, role or style rule the element out, and points its names are worth."""
-    cut, points = False, 0
+def _boilerplate(name: str) -> set[str]:
+    """The words by which a whole name of class or id is one of boilerplate; none if it is not."""
+    words = {w.lower() for w in WORD.findall(name) if len(w) > 1}
+    found = words & CUT_WORDS
+    return found if found and (words <= CUT_WORDS | NEUTRAL or name.lower().replace("_", "-") in COMPOUNDS) else set()
+
+
+def _judged(attributes: str) -> tuple[bool, int, bool | None]:
+    """Whether role or style rule the element out, points its names are worth, and whether they are of boilerplate.
+
+    The last is None if they are not, True for a discussion and False for anything else.
+    """
+    cut, points, found, good = False, 0, set(), False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            cut |= bool(words & CUT_WORDS)
-            points += 25 * bool(words & GOOD_WORDS)
+            for one in value.split():
+                words = {w.lower() for w in WORD.findall(one)}
+                found |= _boilerplate(one)
+                good |= bool(words) and words <= GOOD_WORDS
+                points += 25 * bool(words & GOOD_WORDS)
         elif name == "role":
             cut |= value.lower() in CUT_ROLES
         elif name == "style":
             cut |= "display:none" in value.replace(" ", "").lower()
         else:
             cut |= name == "hidden" or value.lower() == "true"
-    return cut, min(points, 25)
+    return cut, min(points, 25), bool(found & TALK) if found and not good else None
+
+
+def _cut_by_name(page: Page) -> None:
+    """Rule out the elements named as boilerplate that do not hold the article."""
+    if not page.named:
+        return
+    n = len(page.tag)
+    below, within = [0] * n, [False] * n  # 1: an article below, 2: main
+    for e in range(n - 1, 0, -1):
+        if not page.cut[e]:
+            below[page.parent[e]] |= below[e] | {"article": 1, "main": 2}.get(page.tag[e], 0)
+    cut, link = list(page.cut), [False] * n
+    for e in range(1, n):
+        up = page.parent[e]
+        cut[e] |= cut[up] or page.named.get(e, False) and not below[e] & 2
+        within[e] = within[up] or page.tag[e] == "article"
+        link[e] = link[up] or page.tag[e] == "a"
+    plain = [0] * n
+    for e, _, text in page.runs:
+        if not cut[e] and not link[e]:
+            plain[e] += len(text.strip())
+    for e in range(n - 1, 0, -1):
+        plain[page.parent[e]] += plain[e]
+    for e in range(1, n):
+        if page.named.get(e) is False:
+            holds = below[e] & 2 or below[e] & 1 and not within[e] or plain[e] > MOST * plain[0]
+            cut[e] |= not holds
+        cut[e] |= cut[page.parent[e]]
+    page.cut = cut
 
 
 def _texts(page: Page) -> tuple[list[int], list[int], dict[int, list[str]]]:
@@ -217,6 +278,17 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
+    plain = page.cut
+    _cut_by_name(page)
+    found = _best(page)
+    if not found and page.cut != plain:
+        page.cut = plain
+        found = _best(page)
+    return found
+
+
+def _best(page: Page) -> str:
+    """The text of the best container, of what is not ruled out."""
     length, linked, own = _texts(page)
     scores = _scores(page, own)
     if not scores:

@@ -68,3 +68,33 @@ def test_closing_tags_count_at_any_depth(inner):
 @pytest.mark.parametrize("page", ["<b>" * 60_000 + "<li>x</li>" * 30_000, ("<b>" * 10 + "</i>") * 20_000])
 def test_deep_stacks_take_time_in_proportion(page):
     assert len(html_text.main_text(page)) <= len(page)
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<div class='container overflow-hidden'>", "<div class='content has-sidebar'>", "<section class='post no-header'>",
+        "<div id='page' class='site with-banner'>", "<div class='content banner'>", "<div class='widget entry-content'>", "<div class=modal>",
+    ],
+)
+@pytest.mark.parametrize("inner", ["<p>{}</p><p>{}</p>", "<article><p>{}</p><p>{}</p></article>"])
+def test_wrappers_of_the_article_are_not_cut_by_name(opening, inner):
+    end = "</section>" if opening.startswith("<section") else "</div>"
+    page = f"<div class=sidebar><p>{LONG}</p></div>{opening}{inner.format(LONG, LONG)}{end}<div class='site-footer'>{LONG}</div>"
+    assert html_text.main_text(page) == f"{LONG} {LONG}"
+
+
+def test_names_are_ignored_where_nothing_is_left():
+    assert html_text.main_text(f"<div class=comments><p>{LONG}</p></div>") == LONG
+    assert html_text.main_text(f"<div class=modal><p>{LONG}</p></div><div class=widget><p>{LONG}</p></div>").count("This") >= 1
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "site-header", "cookieBanner", "related-posts", "sidebar-1", "main-nav", "ad"])
+def test_boilerplate_is_cut_by_its_whole_name(name):
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div></body>"
+    assert html_text.main_text(page) == f"{LONG} {LONG}"
+
+
+def test_comments_longer_than_the_article_are_cut():
+    page = f"<div><p>{LONG}</p></div><div class=comments><article><p>{LONG * 9}</p></article></div>"
+    assert html_text.main_text(page) == LONG
