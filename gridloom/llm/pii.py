@@ -4,8 +4,11 @@
 (parts of an address at most 255, 16 to 19 digits that pass Luhn, 8 to 15 digits) are dropped. Patterns are written with
 possessive quantifiers and look-behind, so that they match the same spans without going back: time stays in proportion to the text.
 
-**Patterns.** The two words before a seed are a lexical pattern for its kind. *Candidates* are tokens with a digit or ``@`` that no
-seed covers. Seeds and candidates are the instances of a bipartite graph with patterns, weighted by nothing but presence.
+**Patterns.** The two words before a seed are a lexical pattern for its kind. *Candidates* are tokens with a digit or ``@``, and runs
+of tokens with a digit joined by single spaces, that no seed covers. A run with ``RUN_DIGITS`` digits in all is one candidate; its
+tokens are then no instances of their own there, but are still found where other places show them. In any other run, each token of
+at least ``SHORTEST`` characters is a candidate. Marks at the end of a token end the run, and ``+`` begins another. The words
+before are taken from the text, whatever they are. Seeds and candidates are the instances of a bipartite graph with patterns, weighted by nothing but presence.
 
 **Scores.** A pattern's score for a kind is the mean score of its distinct instances, with ``DOUBT`` unknown ones added; it needs
 ``SUPPORT`` distinct seeds of the kind. A candidate's score is that of its best pattern. Both are computed in turn for ``ROUNDS``
@@ -35,11 +38,16 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+CANDIDATE = (
+    r"(?<!\S)[^\s0-9@]*+(?:[0-9][^\s@]*+(?!\S)(?:(?<=[0-9A-Za-z)\]}-]) [^\s0-9@+]*+[0-9][^\s@]*+(?!\S))*+|[0-9@]\S*+)"
+)
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 LAST_WORDS = r"(\S+)\s+(\S+)\s*$"
 EDGE_MARKS = r"^[\"'(\[<{]+|[\"')\]>},.;:!?]+$"
+RUN_LEAD = r"^[\"'\[<{]*(?:\((?![0-9]+\)))?"  # a bracket stays if it is closed right after its digits
 WINDOW = 160  # characters of a gap that its last two words are looked for in
+SHORTEST = 6  # characters of a token
+RUN_DIGITS = (6, 19)
 SUPPORT = 5
 DOUBT = 0.5
 CONFIDENCE = 0.8
@@ -84,11 +92,18 @@ def _located(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str]) -
     hits = rows.select("doc_id", "h", "text", F.explode(F.array(*found)).alias("f")).where(F.size("f.values") > 0)
     gaps = [F.when(F.col("f.kind") == kind, F.split("text", pattern, -1)) for kind, pattern in patterns.items()]
     parts = hits.select("doc_id", "h", "f.kind", F.col("f.values").alias("v"), F.coalesce(*gaps).alias("g"))
-    each = parts.select("doc_id", "h", "kind", F.posexplode(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"))).alias("i", "p"))
+    # Two matches back there are two words more, if there are any.
+    old = lambda name, i, back: F.when(i >= back, F.right(F.get(name, i - back), F.lit(WINDOW))).otherwise("")
+    before = F.transform(
+        "v", lambda _, i: F.right(F.concat(old("v", i, 2), old("g", i, 1), old("v", i, 1), old("g", i, 0)), F.lit(WINDOW))
+    )
+    parts = parts.withColumn("b", before)
+    zipped = F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"), "b")
+    each = parts.select("doc_id", "h", "kind", F.posexplode(zipped).alias("i", "p"))
     each = each.select(
         "doc_id", "h", "kind", "i", F.col("p.v").alias("value"),
         F.length("p.g").cast("long").alias("gap"), F.length("p.v").cast("long").alias("size"),
-        F.right("p.g", F.lit(WINDOW)).alias("before"),
+        F.col("p.b").alias("before"),
     ).distinct()
     so_far = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
@@ -101,6 +116,30 @@ def _context(before: Column) -> Column:
     return F.when(words[1] != "", F.concat_ws(" ", *words))
 
 
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Runs that count as one (``run``) and single tokens, with where their run begins (``first``)."""
+    found = _located(rows, {"token": CANDIDATE}, {"token": "[0-9@]"}).withColumnRenamed("start", "first")
+    one_run = F.col("value").contains(" ") & F.length(_digits(F.col("value"))).between(*RUN_DIGITS)
+    runs = found.where(one_run).select("doc_id", "h", "first", "value", F.col("first").alias("start"), "before", F.lit(True).alias("run"))
+    each = found.select("doc_id", "h", "first", "before", F.posexplode(F.split("value", " ")).alias("i", "value"))
+    by = Window.partitionBy("doc_id", "h", "first").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("at", F.coalesce(F.sum(F.length("value") + 1).over(by), F.lit(0)))
+    last = F.row_number().over(Window.partitionBy("doc_id", "h", "first").orderBy("i"))
+    two = [F.lag("value", k, "").over(Window.partitionBy("doc_id", "h", "first").orderBy("i")) for k in (2, 1)]
+    before = F.when(last == 1, F.col("before")).otherwise(F.right(F.concat_ws(" ", "before", *two, F.lit("")), F.lit(WINDOW)))
+    tokens = each.select("doc_id", "h", "first", "value", (F.col("first") + F.col("at")).alias("start"), before.alias("before"), F.lit(False).alias("run"))
+    both = tokens.union(runs)
+    # Marks at the edges are no part of an identifier, save the bracket of an area code.
+    lead = F.when(F.col("run"), F.length(F.regexp_extract("value", RUN_LEAD, 0))).otherwise(F.length(F.regexp_extract("value", r"^[\"'(\[<{]*", 0)))
+    bare = F.when(F.col("run"), F.regexp_replace(F.regexp_replace("value", RUN_LEAD, ""), r"[\"'\]>},.;:!?]+$|(?<=[0-9])\)[\"'\]>},.;:!?)]*$", ""))
+    bare = bare.otherwise(F.regexp_replace("value", EDGE_MARKS, ""))
+    both = both.withColumn("lead", lead).withColumn("bare", bare)
+    return both.select(
+        "doc_id", "h", "first", "run", F.col("bare").alias("value"), (F.col("start") + F.col("lead")).alias("start"),
+        (F.col("start") + F.col("lead") + F.length("bare")).alias("end"), "before",
+    ).where(F.length("value") >= SHORTEST)
+
+
 def _edges(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pattern, instance, and the kind of a seed (null: candidate); one row each, folded before the shuffle."""
     both = seeds.select(_context(F.col("before")).alias("pattern"), F.lower("value").alias("instance"), "kind").union(
@@ -151,20 +190,19 @@ def personal_data(
     """Spans of every row's text: seeds in ``base``, seeds and discoveries in ``spans``."""
     rows = documents(docs).withColumn("h", F.xxhash64("text"))
     seeds = stored(_located(rows, PATTERNS, NEEDS).where(_valid(F.col("kind"), F.col("value"))), "seeds")
-    tokens = _located(rows, {"token": CANDIDATE}, {"token": "[0-9@]"})
-    # Marks at the edges are no part of an identifier.
-    tokens = tokens.withColumn("lead", F.length(F.regexp_extract("value", r"^[\"'(\[<{]*", 0)))
-    tokens = tokens.withColumn("bare", F.regexp_replace("value", EDGE_MARKS, "")).select(
-        "doc_id", "h", F.col("bare").alias("value"), (F.col("start") + F.col("lead")).alias("start"),
-        (F.col("start") + F.col("lead") + F.length("bare")).alias("end"), "before",
-    ).where(F.length("value") >= 6)
+    tokens = _candidates(rows)
     covered = (
         F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.h") == F.col("s.h"))
         & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end"))
     )
-    candidates = stored(tokens.alias("t").join(seeds.alias("s"), covered, "left_anti"), "candidates")
-    found = _bootstrapped(stored(_edges(seeds, candidates), "edges"), support, confidence, rounds)
-    more = candidates.withColumn("instance", F.lower("value")).join(found, "instance").select("doc_id", "h", "kind", "start", "end")
+    open_tokens = tokens.alias("t").join(seeds.alias("s"), covered, "left_anti")
+    place = Window.partitionBy("doc_id", "h", "first")
+    candidates = stored(open_tokens.withColumn("in_run", F.max("run").over(place)), "candidates")
+    instances = candidates.where(F.col("run") | ~F.col("in_run"))
+    found = _bootstrapped(stored(_edges(seeds, instances), "edges"), support, confidence, rounds)
+    more = candidates.withColumn("instance", F.lower("value")).join(found, "instance")
+    more = more.withColumn("whole", F.max("run").over(place)).where(F.col("run") | ~F.col("whole"))
+    more = more.select("doc_id", "h", "kind", "start", "end")
     every = seeds.select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("seed")).union(more.withColumn("seed", F.lit(False)))
     order = F.array_position(F.lit(list(KINDS)), F.col("kind"))
     span = F.struct(order.alias("k"), "start", "end", "kind")

@@ -89,3 +89,23 @@ def test_empty_table_and_native_plan(spark):
     assert pii.personal_data(spark.createDataFrame([], SCHEMA)).isEmpty()
     plan = pii.personal_data(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_identifiers_with_spaces_are_discovered(spark):
+    phones = [(k, f"Number {k}. You may call me on +1 (456) 555-{2000 + k} or so.", None, None, None) for k in range(12)]
+    cards = [(20 + k, f"Please charge my card {v} today.", None, None, None) for k, v in enumerate(CARDS)]
+    hidden = ["(020) 7946 0958", "555 867 5309"]
+    new = [(100 + k, f"Seen 123456 you may call me on {v} or so.", None, None, None) for k, v in enumerate(hidden)]
+    new += [(110, "Please charge my card 4111 1111 1111 1112 today.", None, None, None)]
+    new += [(120, "elsewhere: 555 867 5309, and 12 eggs", None, None, None), (121, "room 12 of 3456 7890 sheets", None, None, None)]
+    new += [(122, "Seen 12345678 me on 555 867 5309 or so.", None, None, None)]
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, phones + cards + new)).collect()}
+    for k, v in enumerate(hidden):
+        at = new[k][1].index(v)
+        assert found[100 + k] == f"phone:{at}:{at + len(v)}"
+    assert found[110] == "card:22:41" and found[120] == "phone:11:23" and found[121] == ""
+    assert found[122] == "phone:20:32"
+
+
+CARDS = ["4111 1111 1111 1111", "6011 0009 9013 9424", "5555 5555 5555 4444", "4012 8888 8888 1881", "5105 1051 0510 5100",
+         "3530 1113 3330 0000", "4222 2222 2222 2220", "6011 1111 1111 1117"]
