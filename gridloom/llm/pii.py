@@ -92,21 +92,19 @@ def _located(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str]) -
     hits = rows.select("doc_id", "h", "text", F.explode(F.array(*found)).alias("f")).where(F.size("f.values") > 0)
     gaps = [F.when(F.col("f.kind") == kind, F.split("text", pattern, -1)) for kind, pattern in patterns.items()]
     parts = hits.select("doc_id", "h", "f.kind", F.col("f.values").alias("v"), F.coalesce(*gaps).alias("g"))
-    # Two matches back there are two words more, if there are any.
-    old = lambda name, i, back: F.when(i >= back, F.right(F.get(name, i - back), F.lit(WINDOW))).otherwise("")
-    before = F.transform(
-        "v", lambda _, i: F.right(F.concat(old("v", i, 2), old("g", i, 1), old("v", i, 1), old("g", i, 0)), F.lit(WINDOW))
-    )
-    parts = parts.withColumn("b", before)
-    zipped = F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"), "b")
+    zipped = F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"))
     each = parts.select("doc_id", "h", "kind", F.posexplode(zipped).alias("i", "p"))
     each = each.select(
         "doc_id", "h", "kind", "i", F.col("p.v").alias("value"),
         F.length("p.g").cast("long").alias("gap"), F.length("p.v").cast("long").alias("size"),
-        F.col("p.b").alias("before"),
+        F.right("p.g", F.lit(WINDOW)).alias("gap_end"), F.right("p.v", F.lit(WINDOW)).alias("value_end"),
     ).distinct()
     so_far = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
+    # Two matches back there are two words more, if there are any.
+    order = Window.partitionBy("doc_id", "h", "kind").orderBy("i")
+    old = [F.lag(name, back, "").over(order) for name, back in (("value_end", 2), ("gap_end", 1), ("value_end", 1))]
+    each = each.withColumn("before", F.right(F.concat(*old, "gap_end"), F.lit(WINDOW)))
     return each.select("doc_id", "h", "kind", "value", (end - F.col("size")).alias("start"), end.alias("end"), "before")
 
 
