@@ -32,6 +32,7 @@ def test_words_put_together_equal_whole_texts(spark, remembered):
     texts = [r[1] or "" for r in awkward()] + [
         "It's don't WE'LL 12345 x=3.5!! (a),[b];c", "é ́x İstanbul ΣΣΣ,  wide space", "<|endoftext|> a<|startoftext|>b,",
         "naïve... co-op, 你好， мир! \U0001f600, a\u0000b \x1cc", ",,, . ;;x; 's 't'm", "ﬁ ﬁne Å ANGSTROM Å",
+        "<|ENDOFTEXT|> A<|StartOfText|>B, X<|endoftext|> WORD,%%% word&&& WoRd.*** É!! 'S 'LL can'T<|", "a<|endoftext|>### b",
     ]
     texts += [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
     assert encoded(texts, remembered=remembered) == whole(texts)
