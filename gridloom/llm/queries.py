@@ -10,6 +10,7 @@ from gridloom.llm import (
     mixing,
     packing,
     pii,
+    prefix_trie,
     token_records,
     toxicity,
     weighted_sampling,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 EXPECTED = {
     "op1_exact_dedup": exact_dedup.EXPECTED_SQL,
     "op4_mixing": mixing.expected_sql(),
     "op10_chat": chat.EXPECTED_SQL,
+    "op13_prefix_trie": prefix_trie.EXPECTED_SQL,
 }
