@@ -11,6 +11,7 @@ from gridloom.llm import (
     packing,
     pii,
     prefix_trie,
+    suffix_dedup,
     token_records,
     toxicity,
     weighted_sampling,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 EXPECTED = {
