@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20  # of rows that go to a Python worker at once
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -13,7 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(docs: DataFrame, *keep: str) -> DataFrame:
-    """``doc_id``, ``text`` (null counts as empty) and the columns in ``keep``, whatever else there is."""
+    """``doc_id``, ``text`` (null counts as empty) and the columns in ``keep``, whatever else there is.
+
+    Texts are long: batches for Python are bounded by bytes here, as 10,000 rows can be any size.
+    """
+    docs.sparkSession.conf.set(BATCHES, str(BATCH_BYTES))
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     return docs.select("doc_id", text, *keep)
 

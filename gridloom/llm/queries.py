@@ -15,6 +15,7 @@ from gridloom.llm import (
     token_records,
     toxicity,
     weighted_sampling,
+    whitening,
 )
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+    "op12_whitening": whitening.op12_whitening,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 EXPECTED = {

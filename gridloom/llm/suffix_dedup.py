@@ -40,8 +40,9 @@ from gridloom.llm.common import documents, table
 
 SPAN = 50
 GRAM = 26
-CHUNK_BYTES = 16 << 20
-SEGMENT = 1 << 20  # bytes hashed at a time
+CHUNK_BYTES = 8 << 20
+SEGMENT = 1 << 19  # bytes hashed at a time
+SHARES = 8  # sorting tasks to a chunk
 MOST = 64  # suffixes in one fragment
 HOT = 20_000
 CUT = 16  # low bits of an anchor left out while counting
@@ -70,7 +71,6 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     """base^0 ... base^(n-1) modulo 2^64."""
     found, filled = np.ones(n, U64), 1
@@ -81,6 +81,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return found
 
 
+_kept_powers = lru_cache(maxsize=2)(_powers)  # those of a segment, needed all the time
+
+
 class PrefixHashes:
     """Polynomial hashes modulo 2^64 of all prefixes of some bytes, each byte under a random number.
 
@@ -91,10 +94,12 @@ class PrefixHashes:
         rng = np.random.default_rng(seed)
         letters = rng.integers(0, 1 << 62, 256, dtype=U64) * U64(4) + U64(1)
         base = int(rng.integers(1 << 40, 1 << 60)) * 8 + 5
-        room = 1 << max(len(data), 1).bit_length()  # few sizes, so that powers are found again
-        self._back = _powers(pow(base, -1, 1 << 64), room)
-        self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(letters[data] * _powers(base, room)[: len(data)], out=self._sums[1:])
+        n = len(data)
+        powers, room = (_kept_powers, SEGMENT + SPAN) if n <= SEGMENT + SPAN and not seed else (_powers, n + 1)
+        self._back = powers(pow(base, -1, 1 << 64), room)
+        self._sums = letters[data]
+        self._sums *= powers(base, room)[:n]
+        self._sums = np.append(U64(0), np.cumsum(self._sums, out=self._sums))
 
     def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return (self._sums[start + length] - self._sums[start]) * self._back[start]
@@ -414,8 +419,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
     mine = documents(docs)
     volume = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-volume // CHUNK_BYTES))
-    counting = max(1, min(parts // 4, CHUNK_BYTES // (span - gram) * 2 // CELL))
-    sorting = 4 * parts
+    counting = max(1, min(parts, CHUNK_BYTES * 2 // (span - gram) // CELL))
+    sorting = SHARES * parts
     keyed = mine.select(
         F.pmod(F.xxhash64(_digest()), F.lit(parts)).cast("int").alias("part"), _digest().alias("digest"),
         F.col("text").cast("binary").alias("text"), F.coalesce("doc_id", F.lit(NOBODY)).alias("first"),

@@ -1,7 +1,7 @@
 """Operator 5: toxicity by weak supervision.
 
-1. **Lexicon.** From a bounded sample of labelled documents (``SAMPLE`` rows, chosen by hash), words, word beginnings and
-   capital words are counted with and without the label; terms far more frequent in toxic documents enter the lexicon.
+1. **Lexicon.** From a bounded sample of labelled documents (``SAMPLE`` rows, chosen by hash), words and word
+   beginnings are counted with and without the label; terms far more frequent in toxic documents enter the lexicon.
 2. **Voters.** The lexicon is dealt by hash into several word lists and several lists of beginnings, which
    vote independently of each other; patterns vote too (several hits, two hits close together, a dense text). Each voter says toxic or
    abstains.
