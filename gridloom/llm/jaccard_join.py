@@ -14,8 +14,12 @@ A document is the set of its distinct word shingles; two link when ``100 * inter
   and verified on their whole sets.
 * **Links, not pairs.** A shingle's posting list can be as long as a group of near copies, so first every node is verified
   against ``STARS`` pivots of each list only, and against the first node of its group. For ``TURNS`` rounds, nodes outside the
-  largest component of a list are verified against a few inside it. Then only pairs in different components are left to be verified, found by joining a list's nodes outside its largest component with the rest of the list. No
+  largest component of a list are verified against a few inside it. Then only pairs in different components are left to be
+  verified, found by joining a list's nodes outside its largest component with the rest of the list. No
   pair of different components is left out, so the components are exact.
+* **Bitmaps.** A node has ``BITS`` parity bits: each shingle turns one over. Two bitmaps differ in no more bits than
+  the sets differ in shingles, and a link allows ``(100 - percent) / (100 + percent)`` of both sizes together. Pairs beyond that
+  never become rows of the joins. Nodes of one group and component are bounded together, by the bits that all of them agree on.
 
 The text is shuffled once, into chunks of about ``CHUNK_BYTES``; both passes over it read the same shuffle files. Lists,
 pivots and hubs are joined through tables, where adaptive execution splits a hot key.
@@ -30,12 +34,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
@@ -51,10 +56,12 @@ TRIES = 12  # partners of a group in each of those rounds
 CHUNK_BYTES = 10 << 20
 CUT = 24  # low bits left out where frequencies are counted
 PLANES = 5  # bytes that hold a 40-bit difference
+CELL = 64  # shingles that a row of the count should hold at least
+BITS = 512  # parity bits of a node, in words of 64
 U64 = np.uint64
 ROWS = (
     "kind string, doc_id long, n_shingles long, node string, grp string, token long, place long, shingles binary,"
-    " digest binary"
+    " digest binary, bits array<long>"
 )
 
 
@@ -116,6 +123,12 @@ def node_name(shingles: np.ndarray) -> str | None:
     return f"{xxhash.xxh3_128_hexdigest(shingles.tobytes())}{len(shingles):x}" if len(shingles) else None
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as signed words, each the parity of the number of shingles that fall on it."""
+    odd = np.bincount((mixed(shingles) % U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _nodes(chunk: pa.Table, words: int) -> tuple[list[tuple], dict[str, np.ndarray]]:
     """(doc_id, size, node) of each row and the set of each node, in an order that both passes repeat."""
     texts = chunk.column("text").combine_chunks()
@@ -208,12 +221,13 @@ def _posted(chunk: pa.Table, answers: pa.Table, words: int, percent: int) -> pa.
         first = np.argsort(often, kind="stable")[:length]
         prefix = one[first]
         group = f"{xxhash.xxh3_128_hexdigest(prefix.tobytes())}{n:x}"
-        add(kind="node", node=name, grp=group, n_shingles=n, shingles=one.tobytes())
+        add(kind="node", node=name, grp=group, n_shingles=n, shingles=one.tobytes(), bits=parity_bits(one))
         if group not in seen:
             seen.add(group)
             for place in np.nonzero(often[first] > 1)[0].tolist():
                 add(kind="post", grp=group, n_shingles=n, place=place, token=int(prefix[place].view(np.int64)))
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    types.append(pa.list_(pa.int64()))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
@@ -225,8 +239,10 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # A null adds nothing to the hash: documents without a number are dealt by their text.
     dealt = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     chunks = mine.withColumn("part", F.pmod(dealt, F.lit(parts)).cast("int")).repartition(parts, "part")
+    # About one shingle to seven bytes; rows of the count grow with the text, also where chunks are very many.
+    buckets = max(1, min(parts, CHUNK_BYTES // 7 // CELL))
     sent = chunks.groupBy("part").applyInArrow(
-        lambda t: _sent(t, words, parts), "bucket int, part int, tokens binary"
+        lambda t: _sent(t, words, buckets), "bucket int, part int, tokens binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(_counted, "bucket int, part int, counts binary")
     both = chunks.groupBy("part").cogroup(answers.groupBy("part"))
@@ -301,35 +317,65 @@ def _stars(posts: DataFrame, members: DataFrame, heads: DataFrame, stars: int, p
     return pairs.distinct()
 
 
+def _differing(one: str, other: str):
+    """Bits that are set in all nodes of one side and in none of the other, or the other way round."""
+    words = []
+    for k in range(BITS // 64):
+        lo, hi = F.col(f"{one}all")[k], F.col(f"{one}any")[k]
+        lo2, hi2 = F.col(f"{other}all")[k], F.col(f"{other}any")[k]
+        here = lo.bitwiseAND(F.bitwise_not(hi2))
+        there = lo2.bitwiseAND(F.bitwise_not(hi))
+        words.append(F.bit_count(here.bitwiseOR(there)))
+    return reduce(Column.__add__, words)
+
+
+def _near(one: str, other: str, percent: int):
+    """Whether the bitmaps leave a link possible."""
+    return _differing(one, other) * (100 + percent) <= (F.col(f"{one}n") + F.col(f"{other}n")) * (100 - percent)
+
+
 def _contested(posts: DataFrame, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and the lists where several components meet, each with its largest (``top``).
 
-    A group within one component is one entry of a list.
+    A group within one component is one entry of a list, with the bits that all or any of its nodes have.
     """
     named = stored(
-        members.join(labels, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")),
+        members.join(labels, "node", "left").select("grp", "node", "n", "bits", F.coalesce("root", "node").alias("root")),
         "named-members",
     )
+    words = range(BITS // 64)
+    couples = named.groupBy("grp", "root").agg(
+        *(F.bit_and(F.col("bits")[k]).alias(f"l{k}") for k in words), *(F.bit_or(F.col("bits")[k]).alias(f"h{k}") for k in words)
+    )
+    couples = couples.select(
+        "grp", "root", F.array(*(f"l{k}" for k in words)).alias("all"), F.array(*(f"h{k}" for k in words)).alias("any")
+    )
     held = stored(posts.join(named.select("grp", "root").distinct(), "grp"), "held")
     most = held.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(
         F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top")
     )
     open_lists = stored(most.where("roots > 1").select("token", F.col("top.root").alias("top")), "open-lists")
-    return named, stored(held.join(open_lists, "token"), "contested")
+    return named, stored(held.join(open_lists, "token").join(couples, ["grp", "root"]), "contested")
+
+
+def _expanded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups with the components meant, as pairs of their nodes that may be similar."""
 
+    def side(name: str, node: str) -> DataFrame:
+        bits = F.col("bits")
+        return named.select(
+            F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
+            bits.alias(f"{name}all"), bits.alias(f"{name}any"), F.col("node").alias(node),
+        )
 
-def _expanded(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of groups with the components meant, as pairs of their nodes."""
-    left = named.select(F.col("grp").alias("ag"), F.col("root").alias("ar"), F.col("node").alias("u"))
-    right = named.select(F.col("grp").alias("bg"), F.col("root").alias("br"), F.col("node").alias("v"))
-    expanded = pairs.join(left, ["ag", "ar"]).join(right, ["bg", "br"])
+    expanded = pairs.join(side("a", "u"), ["ag", "ar"]).join(side("b", "v"), ["bg", "br"]).where(_near("a", "b", percent))
     return expanded.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _side(contested: DataFrame, name: str) -> DataFrame:
     return contested.select(
         "token", F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
-        F.col("place").alias(f"{name}place"),
+        F.col("place").alias(f"{name}place"), F.col("all").alias(f"{name}all"), F.col("any").alias(f"{name}any"),
     )
 
 
@@ -342,24 +388,26 @@ def _towards_largest(
     """
     named, contested = _contested(posts, members, labels)
     inside = contested.where("root = top")
-    picks = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "grp"), "grp", "root", "n")) for k in range(TRIES)]
+    one = ("grp", "root", "n", "all", "any")
+    picks = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "grp"), *one)) for k in range(TRIES)]
     chosen = inside.groupBy("token").agg(*(p.alias(f"p{k}") for k, p in enumerate(picks)))
     chosen = stored(
         chosen.select("token", F.explode(F.array(*(f"p{k}" for k in range(TRIES)))).alias("p")).select(
-            "token", F.col("p.grp").alias("bg"), F.col("p.root").alias("br"), F.col("p.n").alias("bn")
-        ).distinct(),
+            "token", F.col("p.grp").alias("bg"), F.col("p.root").alias("br"), F.col("p.n").alias("bn"),
+            F.col("p.all").alias("ball"), F.col("p.any").alias("bany"),
+        ).dropDuplicates(["token", "bg", "br"]),
         "inside-pivots",
     )
     met = (
         _side(contested.where("root != top"), "a")
         .join(chosen, "token")
-        .where(_fits("an", "bn", percent))
+        .where(_fits("an", "bn", percent) & _near("a", "b", percent))
         .groupBy("ag", "ar", "bg", "br")
         .agg(F.count("*").alias("shared"))
     )
     rank = F.row_number().over(Window.partitionBy("ag", "ar").orderBy(F.desc("shared"), "bg", "br"))
     best = stored(met.withColumn("rank", rank).where(F.col("rank") <= TRIES).select("ag", "ar", "bg", "br"), "towards")
-    return _expanded(best, named)
+    return _expanded(best, named, percent)
 
 
 def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +416,7 @@ def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent:
     met = (
         _side(contested.where("root != top"), "a")
         .join(_side(contested, "b"), "token")
-        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent) & _room("a", "b", percent))
+        .where((F.col("ar") != F.col("br")) & _fits("an", "bn", percent) & _room("a", "b", percent) & _near("a", "b", percent))
         .select("ag", "ar", "bg", "br")
         .distinct()
     )
@@ -378,18 +426,18 @@ def _remaining(posts: DataFrame, members: DataFrame, labels: DataFrame, percent:
     apart = inside.join(split, "ag").where("ar != top").select("ag", "ar").join(
         inside.select("ag", F.col("ar").alias("br")), "ag"
     ).where("ar != br").select("ag", "ar", F.col("ag").alias("bg"), "br")
-    return _expanded(stored(met.union(apart), "group-pairs"), named)
+    return _expanded(stored(met.union(apart), "group-pairs"), named, percent)
 
 
 def _rooted(docs: DataFrame, words: int, percent: int, stars: int, turns: int) -> tuple[DataFrame, DataFrame]:
     """Rows with words, each with the name of its component (``root``) and a digest of its text, and those without."""
     found = postings(docs, words, percent)
     rows = found.where("kind = 'row'").select("doc_id", "n_shingles", "node", "digest")
-    worth = found.where("kind = 'node'").select("node", "grp", "n_shingles", "shingles")
+    worth = found.where("kind = 'node'").select("node", "grp", "n_shingles", "shingles", "bits")
     nodes = stored(worth.dropDuplicates(["node"]), "nodes")
     posts = found.where("kind = 'post'").select("token", "grp", F.col("n_shingles").alias("n"), "place")
     posts = stored(posts.distinct(), "posts")
-    members = nodes.select("grp", "node")
+    members = nodes.select("grp", "node", F.col("n_shingles").alias("n"), "bits")
     heads = stored(members.groupBy("grp").agg(F.min("node").alias("head")), "heads")
     links = stored(_verified(_stars(posts, members, heads, stars, percent), nodes, percent), "star-links")
     labels = stored(components(links), "labels")

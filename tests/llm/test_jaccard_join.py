@@ -92,7 +92,7 @@ def test_one_document_of_each_group_stays(spark):
     df = with_clashing(frame(spark))
     kept = jaccard_join.one_of_each_group(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 9, 10, 11, 12, None], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 9, 10, 11, 12, 12, None], key=str)
 
 
 def test_rows_without_or_with_the_same_doc_id_keep_their_own_texts(spark, monkeypatch):
@@ -126,6 +126,42 @@ def test_a_third_of_all_rows_alike(spark):
     assert sizes == [1] * 1000 + [500]
 
 
+def test_many_near_copies_about_the_threshold(spark):
+    """Two thousand edited copies, most pairs just below the threshold and many just above, without rounds in between."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(2000):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(1, 4), replace=False):
+            words[at] = f"x{rng.integers(3)}y{at}"
+        rows.append((k, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    place = {s: n for n, s in enumerate({s for one in sets for s in one})}
+    matrix = np.zeros((len(rows), len(place)), np.float32)
+    for k, one in enumerate(sets):
+        matrix[k, [place[s] for s in one]] = 1
+    shared, sizes = matrix @ matrix.T, matrix.sum(axis=1)
+    linked = 100 * shared >= 75 * (sizes[:, None] + sizes - shared)
+    assert 0.2 < linked.mean() < 0.9
+    root, fresh = np.arange(len(rows)), True
+    while fresh:
+        lower = np.array([root[linked[k]].min() for k in range(len(rows))])
+        fresh, root = bool((lower != root).any()), lower
+    found = jaccard_join.near_duplicates(frame(spark, [(*r, None, None, None) for r in rows]).repartition(4), turns=0)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root.tolist()))
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for edits in (0, 1, n // 7, n):
+            b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, np.uint64)]))
+            x, y = (jaccard_join.parity_bits(s) for s in (a, b))
+            bits = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+            assert bits <= len(np.setxor1d(a, b)) and (edits or bits == 0)
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], SCHEMA)).isEmpty()
 
