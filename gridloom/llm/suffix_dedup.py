@@ -26,6 +26,7 @@ doc_ids: one document, never compared with itself. Texts shorter than the span s
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,6 +50,7 @@ CUT = 16  # low bits of an anchor left out while counting
 CELL = 16  # anchors that a row of the count should hold at least
 NOBODY = (1 << 63) - 1  # place of a null doc_id
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what was freed unless told otherwise
 EMPTY = hashlib.sha256(b"").hexdigest()
 TEXTS = "part int, digest binary, text binary, first long"
 CELLS = "bucket int, part int, anchors binary, times binary"
@@ -142,7 +144,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tup
         start, size, which = _pieces(begin, length, MOST)
         starts.append(start + at)
         sizes.append(size)
-        anchors.append(low[begin][which])
+        anchors.append(spread(low[begin] + U64(1))[which])  # least hashes are small numbers: deal them evenly
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
 
 
@@ -205,7 +207,7 @@ class Fragments:
         self.start, self.size, self.dealt = start[order], size[order], dealt[order]
         self.first = chunk.first[np.searchsorted(chunk.ends, self.start, "right")]
         until = (self.start + self.size + chunk.span - 1).tolist()
-        data = memoryview(chunk.data)
+        data = chunk.data.tobytes()  # slices of a memoryview would never be let go by Arrow
         texts = pa.array([data[a:b] for a, b in zip(self.start.tolist(), until, strict=True)], pa.binary())
         coded = texts.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -370,24 +372,23 @@ def _sorted(rows: pa.Table, span: int) -> pa.Table:
 
 
 def _removed(chunk: Chunk, found: Fragments, results: pa.Table) -> pa.Table:
-    begins = np.zeros(len(chunk.data) + 1, np.int32)  # of removed spans
+    begins = np.zeros(len(chunk.data), np.int8)  # of removed spans
     if results.num_rows:
         group = np.searchsorted(found.at, results.column("at").to_numpy())
         for g, cell in zip(group.tolist(), results.column("data"), strict=True):
             values = np.frombuffer(cell.as_buffer(), "<i8")
             for k in found.order[found.heads[g] : found.heads[g] + found.count[g]].tolist():
                 begins[found.start[k] : found.start[k] + found.size[k]] = values < found.first[k]
-    so_far = np.cumsum(begins, dtype=np.int32)
-    gone = so_far.copy()
-    gone[chunk.span :] -= so_far[: -chunk.span]
-    gone = gone[:-1] > 0
     rows, at = [], 0
     for digest, first, end in zip(chunk.digests, chunk.first.tolist(), chunk.ends.tolist(), strict=True):
-        mine, text = gone[at:end], chunk.data[at:end]
-        removed = int(mine.sum())
-        spans = int(np.count_nonzero(mine[1:] & ~mine[:-1]) + mine[0]) if removed else 0
-        kept = text[~mine] if removed else text
-        rows.append((digest, first, removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+        text, removed, spans = chunk.data[at:end], 0, 0
+        if begins[at:end].any():
+            so_far = np.cumsum(begins[at:end], dtype=np.int32)
+            gone = so_far > 0
+            gone[chunk.span :] = so_far[chunk.span :] > so_far[: -chunk.span]
+            removed, spans = int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
+            text = text[~gone]
+        rows.append((digest, first, removed, spans, hashlib.sha256(text.tobytes()).hexdigest()))
         at = end
     return _table(list(zip(*rows, strict=True)) or [[]] * 5, RESULTS)
 
@@ -410,6 +411,14 @@ def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _table(rows, TEXTS).to_batches()
 
 
+def _released(made: pa.Table) -> pa.Table:
+    """The same; memory freed on the way goes back to the system, as a worker lives on with other tasks beside it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    return made
+
+
 def _digest() -> F.Column:
     return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
 
@@ -428,20 +437,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
     chunks = keyed.mapInArrow(_once_a_task, TEXTS).repartition(parts, "part")
 
     def send(rows: pa.Table) -> pa.Table:
-        return _sent(Chunk(rows, span, gram), rows.column("part")[0].as_py(), counting)
+        return _released(_sent(Chunk(rows, span, gram), rows.column("part")[0].as_py(), counting))
 
     def offer(rows: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(rows, span, gram)
-        return _offered(chunk.fragments(answers), rows.column("part")[0].as_py(), sorting)
+        return _released(_offered(chunk.fragments(answers), rows.column("part")[0].as_py(), sorting))
 
     def remove(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows, span, gram)
         answer = np.array(told.column("bucket").to_numpy() >= 0, bool)
-        return _removed(chunk, chunk.fragments(told.filter(pa.array(answer))), told.filter(pa.array(~answer)))
+        return _released(_removed(chunk, chunk.fragments(told.filter(pa.array(answer))), told.filter(pa.array(~answer))))
 
-    answers = chunks.groupBy("part").applyInArrow(send, CELLS).groupBy("bucket").applyInArrow(_answered, ANSWERS)
+    answers = chunks.groupBy("part").applyInArrow(send, CELLS).groupBy("bucket").applyInArrow(lambda cells: _released(_answered(cells)), ANSWERS)
     offered = chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(offer, FRAGMENTS)
-    found = offered.groupBy("bucket").applyInArrow(lambda rows: _sorted(rows, span), ANSWERS)
+    found = offered.groupBy("bucket").applyInArrow(lambda rows: _released(_sorted(rows, span)), ANSWERS)
     return chunks.groupBy("part").cogroup(answers.union(found).groupBy("part")).applyInArrow(remove, RESULTS)
 
 
