@@ -57,7 +57,7 @@ CHUNK_BYTES = 10 << 20
 CUT = 24  # low bits left out where frequencies are counted
 PLANES = 5  # bytes that hold a 40-bit difference
 CELL = 64  # shingles that a row of the count should hold at least
-BITS = 512  # parity bits of a node, in words of 64
+BITS = 256  # parity bits of a node, in words of 64
 U64 = np.uint64
 ROWS = (
     "kind string, doc_id long, n_shingles long, node string, grp string, token long, place long, shingles binary,"
@@ -317,16 +317,14 @@ def _stars(posts: DataFrame, members: DataFrame, heads: DataFrame, stars: int, p
     return pairs.distinct()
 
 
+# Columns for the bits that all nodes of a side have, and for those that any has. Plain numbers: code for arrays is too long to compile.
+MASKS = [f"{kind}{k}" for kind in ("all", "any") for k in range(BITS // 64)]
+
+
 def _differing(one: str, other: str):
     """Bits that are set in all nodes of one side and in none of the other, or the other way round."""
-    words = []
-    for k in range(BITS // 64):
-        lo, hi = F.col(f"{one}all")[k], F.col(f"{one}any")[k]
-        lo2, hi2 = F.col(f"{other}all")[k], F.col(f"{other}any")[k]
-        here = lo.bitwiseAND(F.bitwise_not(hi2))
-        there = lo2.bitwiseAND(F.bitwise_not(hi))
-        words.append(F.bit_count(here.bitwiseOR(there)))
-    return reduce(Column.__add__, words)
+    sql = (f"bit_count(({one}all{k} & ~{other}any{k}) | ({other}all{k} & ~{one}any{k}))" for k in range(BITS // 64))
+    return F.expr(" + ".join(sql))
 
 
 def _near(one: str, other: str, percent: int):
@@ -345,10 +343,7 @@ def _contested(posts: DataFrame, members: DataFrame, labels: DataFrame) -> tuple
     )
     words = range(BITS // 64)
     couples = named.groupBy("grp", "root").agg(
-        *(F.bit_and(F.col("bits")[k]).alias(f"l{k}") for k in words), *(F.bit_or(F.col("bits")[k]).alias(f"h{k}") for k in words)
-    )
-    couples = couples.select(
-        "grp", "root", F.array(*(f"l{k}" for k in words)).alias("all"), F.array(*(f"h{k}" for k in words)).alias("any")
+        *(F.bit_and(F.col("bits")[k]).alias(f"all{k}") for k in words), *(F.bit_or(F.col("bits")[k]).alias(f"any{k}") for k in words)
     )
     held = stored(posts.join(named.select("grp", "root").distinct(), "grp"), "held")
     most = held.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(
@@ -365,7 +360,7 @@ def _expanded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
         bits = F.col("bits")
         return named.select(
             F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
-            bits.alias(f"{name}all"), bits.alias(f"{name}any"), F.col("node").alias(node),
+            *(bits[int(w[3:])].alias(f"{name}{w}") for w in MASKS), F.col("node").alias(node),
         )
 
     expanded = pairs.join(side("a", "u"), ["ag", "ar"]).join(side("b", "v"), ["bg", "br"]).where(_near("a", "b", percent))
@@ -375,7 +370,7 @@ def _expanded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 def _side(contested: DataFrame, name: str) -> DataFrame:
     return contested.select(
         "token", F.col("grp").alias(f"{name}g"), F.col("root").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
-        F.col("place").alias(f"{name}place"), F.col("all").alias(f"{name}all"), F.col("any").alias(f"{name}any"),
+        F.col("place").alias(f"{name}place"), *(F.col(w).alias(f"{name}{w}") for w in MASKS),
     )
 
 
@@ -388,13 +383,13 @@ def _towards_largest(
     """
     named, contested = _contested(posts, members, labels)
     inside = contested.where("root = top")
-    one = ("grp", "root", "n", "all", "any")
+    one = ("grp", "root", "n", *MASKS)
     picks = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "grp"), *one)) for k in range(TRIES)]
     chosen = inside.groupBy("token").agg(*(p.alias(f"p{k}") for k, p in enumerate(picks)))
     chosen = stored(
         chosen.select("token", F.explode(F.array(*(f"p{k}" for k in range(TRIES)))).alias("p")).select(
             "token", F.col("p.grp").alias("bg"), F.col("p.root").alias("br"), F.col("p.n").alias("bn"),
-            F.col("p.all").alias("ball"), F.col("p.any").alias("bany"),
+            *(F.col(f"p.{w}").alias(f"b{w}") for w in MASKS),
         ).dropDuplicates(["token", "bg", "br"]),
         "inside-pivots",
     )
