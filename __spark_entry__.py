@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,7 +110,7 @@ def _summary(ws: Workspace) -> DataFrame:
 
 def _relationships(ws: Workspace) -> DataFrame:
     names = {name for link in constraints.RELATIONSHIPS for name in (link.many[0], link.one[0])}
-    return constraints.check_relationships({name: stored(ws.gold(name), name) for name in names})
+    return constraints.check_relationships({name: ws.gold(name) for name in names})
 
 
 def _sliced(ws: Workspace) -> DataFrame:
@@ -235,35 +236,69 @@ def _readiness(ws: Workspace) -> DataFrame:
     return constraints.check_readiness({n: stored(ws.gold(n), n) for n in names}, ws.meters)
 
 
+ZSCORE = "robust_zscore"
+
+
+@dataclass(frozen=True)
+class _Batch:
+    """What one run of the whole batch has left: rows of its data sets and tables, and the columns of the star schema."""
+
+    datasets: list[tuple[str, int]]
+    tables: list[tuple[str, int]]
+    columns: list[tuple[str, int, str, str]]
+
+
 @cache
-def _batch_at(application: str, folder: str) -> tuple[dict, list[tuple[str, int]]]:
-    """The whole batch over the given tables with a saved linear model, which is trained in seconds.
+def _batch_at(application: str, folder: str) -> _Batch:
+    """The whole batch over the given tables in two deliveries, the second with the later readings of each key.
 
-    Its summary, and the rows of every table read through the catalog; anomalies depend on the forest and are left out.
+    All three models are trained at their published sizes inside the run. The forest's anomalies depend on its random numbers, so
+    of anomalies those of the z-score are counted.
     """
-    ws = Workspace(SparkSession.getActiveSession(), folder)
-    base = fresh_path(ws.spark, "batch")
-    feeds.write_feeds(bundled.feeds(ws.spark, folder), f"{base}/raw")
-    models.save(models.train(ws.shared.feature_table, names=("LinearRegression",)), f"{base}/models")
+    spark = Workspace(SparkSession.getActiveSession(), folder).spark
+    base = fresh_path(spark, "batch")
+    superseded, newest = bundled.deliveries(bundled.table(spark, folder, "events"))
+    feeds.write_feeds(bundled.feeds(spark, folder)._replace(readings=superseded), f"{base}/raw")
+    feeds.deliver(newest, f"{base}/raw")
     database = f"gridloom_{base[-12:]}"
-    summary = batch.run_batch(ws.spark, base, train=False, database=database)
-    names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"]) if "anomalies" not in n]
-    rows = [(n, ws.spark.table(f"{database}.{n}").count()) for n in names]
-    ws.spark.sql(f"DROP DATABASE {database} CASCADE")
-    return summary, rows
+    try:
+        summary = batch.run_batch(spark, base, database=database)
+        names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"])]
+        tables = [_counted(spark.table(f"{database}.{n}"), n) for n in names]
+        columns = [
+            (table, place, column.name, column.dataType)
+            for table in sorted(warehouse.DECLARED)
+            for place, column in enumerate(spark.catalog.listColumns(f"{database}.{table}"))
+        ]
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+    anomalies = _counted(layers.read(spark, layers.gold_path(f"{base}/gold", "anomalies")), "anomalies")
+    return _Batch([*((n, k) for n, k in summary["gold"].items() if n != "anomalies"), anomalies], tables, columns)
+
+
+def _counted(df: DataFrame, name: str) -> tuple[str, int]:
+    if "detection_method" not in df.columns:
+        return name, df.count()
+    return f"{name}:{ZSCORE}", df.where(F.col("detection_method") == ZSCORE).count()
+
+
+def _batch_of(ws: Workspace) -> _Batch:
+    return _batch_at(ws.spark.sparkContext.applicationId, ws.folder)
 
 
 def _batch_rows(ws: Workspace) -> DataFrame:
     """Rows of every gold data set the batch reports."""
-    summary, _ = _batch_at(ws.spark.sparkContext.applicationId, ws.folder)
-    rows = [(name, n) for name, n in summary["gold"].items() if name != "anomalies"]
-    return ws.spark.createDataFrame(rows, "dataset string, row_count long")
+    return ws.spark.createDataFrame(_batch_of(ws).datasets, "dataset string, row_count long")
 
 
 def _catalog_rows(ws: Workspace) -> DataFrame:
     """Rows of the registered layer tables and of the loaded star schema."""
-    _, rows = _batch_at(ws.spark.sparkContext.applicationId, ws.folder)
-    return ws.spark.createDataFrame(rows, "table_name string, row_count long")
+    return ws.spark.createDataFrame(_batch_of(ws).tables, "table_name string, row_count long")
+
+
+def _catalog_columns(ws: Workspace) -> DataFrame:
+    """Columns of the loaded star schema as the catalog has them."""
+    return ws.spark.createDataFrame(_batch_of(ws).columns, "table_name string, place int, column_name string, data_type string")
 
 
 def _view(name: str) -> Callable[[Workspace], DataFrame]:
@@ -405,6 +440,7 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         "dq_strict": lambda ws: _strict(ws.shared),
         "batch_rows": _batch_rows,
         "catalog_rows": _catalog_rows,
+        "catalog_columns": _catalog_columns,
         "wh_fact_predictions": lambda ws: ws.warehouse("fact_predictions"),
     }
     found |= {name: _view(name) for name in views.VIEWS}
@@ -412,7 +448,7 @@ def _registered() -> dict[str, Callable[[Workspace], DataFrame]]:
         found[f"wh_{table}"] = lambda ws, table=table: ws.warehouse(table)
     for name in profile.REQUIRED_DATASETS:
         found[f"profile_{name}"] = lambda ws, name=name: profile.profile(
-            (ws.shared if name == "wide_fact" else ws).gold(name), name
+            stored((ws.shared if name == "wide_fact" else ws).gold(name), name), name
         )
     return found
 

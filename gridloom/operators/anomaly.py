@@ -31,10 +31,10 @@ def with_severity(scored: DataFrame) -> DataFrame:
 def zscore_anomalies(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Distance from the median of the meter's hour in units of scaled median deviation.
 
-    A group whose deviation is zero scores zero. Medians come from counted values in range-cut order, so
-    one busy hour of one meter is spread over tasks; the centred rows are written once.
+    A group whose deviation is zero scores zero. Readings are written once, and so are the centred ones, as medians
+    read them more than once; a busy hour of one meter is narrowed down by counts before its values are ordered.
     """
-    readings = df.select("timestamp", *KEY, VALUE)
+    readings = stored(df.select("timestamp", *KEY, VALUE), "readings")
     centres = exact_median(readings, KEY, VALUE, "_centre")
     placed = stored(
         readings.join(centres, list(KEY), "left").withColumn("_gap", F.col(VALUE) - F.col("_centre")), "centred"

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import stored
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -136,7 +138,7 @@ def check_constraints(
 
     A key counts surplus groups, a reference counts rows without a partner.
     """
-    parts = []
+    parts, links, names, labels = [], [], [], []
     for table, df in tables.items():
         known = rules[table]
         if known.required or known.checks:
@@ -145,10 +147,17 @@ def check_constraints(
             found = duplicate_keys(df, columns).agg(F.count(F.lit(1)).alias(name))
             parts.append(_result(found, table, [name]))
         for column, target, key in known.references:
-            name = f"foreign_key_{column}"
-            missing = orphans(df, column, tables[target], key)
-            found = missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(name))
-            parts.append(_result(found, table, [name]))
+            links.append((df, column, tables[target], key))
+            names.append((table, target))
+            labels.append((table, f"foreign_key_{column}"))
+    if links:
+        number = F.col("number") + 1
+        label = [F.element_at(F.array(*(F.lit(pair[k]) for pair in labels)), number) for k in (0, 1)]
+        parts.append(
+            _resolved(links, names).select(
+                label[0].alias("table_name"), label[1].alias("constraint_name"), F.col("orphans").alias("violations")
+            )
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -174,39 +183,73 @@ RELATIONSHIPS = (
 )
 
 
+def _used_values(df: DataFrame, columns: Mapping[int, str]) -> DataFrame:
+    """(number, value, rows): how often each value occurs in each of the numbered columns, in one pass over the table."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("number"), F.col(c).cast("string").alias("value")) for n, c in columns.items())))
+    counted = df.select(*set(columns.values())).select(pairs.alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("_p.number", "_p.value", "rows")
+
+
+def _resolved(
+    links: Sequence[tuple[DataFrame, str, DataFrame, str]], names: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """(number, surplus, unresolved, repeated_one) for references ``(table, column, target, key)``; ``names`` tells tables apart.
+
+    Each table is read once for all its references, and each target once for all that refer to it; values are counted before they
+    are joined, so an orphan that a third of the rows carry is one row.
+    """
+    sources: dict[str, tuple[DataFrame, dict[int, str]]] = {}
+    targets: dict[tuple[str, str], tuple[DataFrame, str]] = {}
+    where: dict[tuple[str, str], list[int]] = {}
+    for number, ((many, column, one, key), (source, target)) in enumerate(zip(links, names, strict=True)):
+        sources.setdefault(source, (many, {}))[1][number] = column
+        targets[target, key] = (one, key)
+        where.setdefault((target, key), []).append(number)
+    used = reduce(DataFrame.union, (_used_values(df, columns) for df, columns in sources.values()))
+    known = reduce(
+        DataFrame.union,
+        (
+            _used_values(one, {0: key}).select(F.explode(F.array(*map(F.lit, where[at]))).alias("number"), "value", F.col("rows").alias("there"))
+            for at, (one, key) in targets.items()
+        ),
+    )
+    known = stored(known, "known-keys")
+    joined = used.join(known, ["number", "value"], "left").groupBy("number").agg(
+        F.count_if(F.col("rows") > 1).alias("surplus"), F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("rows"))), F.lit(0)).alias("unresolved"),
+        F.coalesce(F.sum(F.when(F.col("there").isNull() & F.col("value").isNotNull(), F.col("rows"))), F.lit(0)).alias("orphans"),
+    )
+    twice = known.where("there > 1").groupBy("number").agg(F.count(F.lit(1)).alias("repeated_one"))
+    every = used.sparkSession.range(len(links)).select(F.col("id").cast("int").alias("number"))
+    zeros = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("surplus", "unresolved", "orphans", "repeated_one")}
+    return every.join(joined, "number", "left").join(twice, "number", "left").withColumns(zeros)
+
+
 def check_relationships(
     datasets: Mapping[str, DataFrame], relationships: Sequence[Relationship] = RELATIONSHIPS
 ) -> DataFrame:
     """Per relationship: repeated keys on each side that must be unique, and unresolved rows."""
-    parts = []
-    for link in relationships:
-        (source, column), (target, key) = link.many, link.one
-        many, one = datasets[source], datasets[target]
-        if key == "date":
-            many = many.withColumn(column, F.to_date(column))
-        one_to_one = link.cardinality == "one-to-one"
-        surplus = F.count_if(F.col("rows") > 1)
-        resolved = (
-            many.groupBy(F.col(column).alias("value"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .join(one.select(F.col(key).alias("value"), F.lit(1).alias("_known")).distinct(), "value", "left")
-            .agg(
-                (surplus if one_to_one else F.lit(0).cast("bigint")).alias("repeated_many"),
-                F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("rows"))), F.lit(0)).alias("unresolved"),
-            )
-        )
-        repeated_one = duplicate_keys(one, [key]).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            resolved.select(
-                F.lit(f"{source}.{column}").alias("many_side"),
-                F.lit(f"{target}.{key}").alias("one_side"),
-                F.lit(link.cardinality).alias("cardinality"),
-                repeated_one.scalar().alias("repeated_one"),
-                "repeated_many",
-                "unresolved",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    dated = {link.many for link in relationships if link.one[1] == "date"}
+
+    def many(name: str) -> DataFrame:
+        days = {column: F.to_date(column) for source, column in dated if source == name}
+        return datasets[name].withColumns(days) if days else datasets[name]
+
+    links = [(many(link.many[0]), link.many[1], datasets[link.one[0]], link.one[1]) for link in relationships]
+    found = _resolved(links, [(link.many[0], link.one[0]) for link in relationships])
+
+    def chosen(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("number") + 1)
+
+    return found.select(
+        chosen([".".join(link.many) for link in relationships]).alias("many_side"),
+        chosen([".".join(link.one) for link in relationships]).alias("one_side"),
+        chosen([link.cardinality for link in relationships]).alias("cardinality"),
+        "repeated_one",
+        F.when(chosen([link.cardinality for link in relationships]) == "one-to-one", F.col("surplus"))
+        .otherwise(F.lit(0).cast("bigint"))
+        .alias("repeated_many"),
+        "unresolved",
+    )
 
 
 # What a flat fact, predictions and anomalies must fulfil before they are handed on.

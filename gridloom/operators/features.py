@@ -110,6 +110,13 @@ def numeric_columns(settings: Settings = DEFAULTS) -> list[str]:
     return [*NUMERIC, *history_names(settings), *cycles]
 
 
+def aligned(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows with every column a model reads: an absent number counts 0.0, an absent category is no known level."""
+    numbers = {c: F.lit(0.0) for c in numeric_columns(settings) if c not in df.columns}
+    labels = {c: F.lit(None).cast("string") for c in CATEGORICAL if c not in df.columns}
+    return df.withColumns(numbers | labels) if numbers or labels else df
+
+
 def feature_matrix(
     df: DataFrame, levels: Mapping[str, Sequence[str]], settings: Settings = DEFAULTS
 ) -> DataFrame:

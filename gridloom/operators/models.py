@@ -37,7 +37,7 @@ class FittedForecast:
     model: PipelineModel
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(rows)
+        return self.model.transform(features.aligned(rows))
 
 
 @dataclass(frozen=True)

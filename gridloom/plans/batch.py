@@ -54,7 +54,7 @@ def _checked(df: DataFrame, layer: str, at: Locations, strict: bool, settings: S
 
 def bronze_stage(spark: SparkSession, at: Locations, strict: bool, settings: Settings) -> dict:
     raw = feeds.read_feeds(spark, at.raw)
-    bronze = feeds.to_bronze(raw.readings)
+    bronze = feeds.to_bronze(raw.readings, feeds.file_arrival())
     target = at.layer("bronze", layers.READINGS)
     if strict:  # nothing is published when the feed fails
         report = _checked(bronze, "bronze", at, True, settings)

@@ -581,6 +581,30 @@ def count_rows(label: str, sources: dict[str, str]) -> str:
     return "\nUNION ALL ".join(f"SELECT '{name}' AS {label}, count(*) AS row_count FROM {source}" for name, source in sources.items())
 
 
+# The star schema's columns and types as a catalog shows them.
+COLUMNS = """
+dim_date date_key date, year smallint, quarter smallint, month smallint, month_name varchar(16), day smallint, day_of_week smallint, day_name varchar(16), weekend_flag smallint, season varchar(16)
+dim_meter meter_id varchar(16), meter_type varchar(32), region varchar(32), installation_date date, rated_voltage decimal(6,2), base_load_kwh decimal(10,4), avg_consumption decimal(12,4), total_consumption decimal(16,4)
+energy_summary total_consumption decimal(18,3), avg_consumption decimal(12,4), peak_consumption decimal(12,4), min_consumption decimal(12,4), meter_count int, reading_count bigint, period_start timestamp, period_end timestamp, refreshed_at timestamp
+fact_anomalies reading_ts timestamp, meter_id varchar(16), energy_consumption decimal(12,4), anomaly_flag smallint, anomaly_type varchar(32), anomaly_score decimal(12,4), anomaly_severity varchar(16), detection_method varchar(32), created_at timestamp
+fact_daily_consumption date_key date, meter_id varchar(16), total_consumption decimal(12,4), avg_consumption decimal(12,4), max_consumption decimal(12,4), min_consumption decimal(12,4), reading_count int, avg_temperature decimal(6,2), weekend_flag smallint, season varchar(16)
+fact_hourly_consumption date_key date, hour smallint, meter_id varchar(16), total_consumption decimal(12,4), avg_consumption decimal(12,4), max_consumption decimal(12,4), min_consumption decimal(12,4), reading_count int, avg_temperature decimal(6,2), peak_hour_flag smallint
+fact_meter_consumption meter_id varchar(16), meter_type varchar(32), region varchar(32), total_consumption decimal(16,4), avg_consumption decimal(12,4), max_consumption decimal(12,4), min_consumption decimal(12,4), stddev_consumption decimal(12,4), reading_count int, consumption_rank int
+fact_monthly_consumption year smallint, month smallint, meter_id varchar(16), total_consumption decimal(14,4), avg_consumption decimal(12,4), max_consumption decimal(12,4), min_consumption decimal(12,4), reading_count int
+fact_peak_offpeak date_key date, tariff_period varchar(16), total_consumption decimal(14,4), avg_consumption decimal(12,4), reading_count int
+fact_predictions reading_ts timestamp, meter_id varchar(16), actual_consumption decimal(12,4), predicted_consumption decimal(12,4), prediction_error decimal(12,4), abs_percentage_error decimal(12,4), model_name varchar(64), model_version varchar(32), created_at timestamp
+fact_weather_energy date_key date, weather_condition varchar(32), temperature_band varchar(16), avg_temperature decimal(6,2), avg_humidity decimal(6,2), total_consumption decimal(14,4), avg_consumption decimal(12,4), reading_count int
+"""
+
+
+def column_rows() -> str:
+    rows = []
+    for line in COLUMNS.split("\n")[1:-1]:
+        table, columns = line.split(" ", 1)
+        rows += [f"('{table}', {k}, '{c.split()[0]}', '{c.split()[1]}')" for k, c in enumerate(columns.split(", "))]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(table_name, place, column_name, data_type)"
+
+
 def readiness_rows() -> str:
     tests = {
         ("wide_fact", "total_known"): "wide_fact WHERE total_consumption IS NULL",
@@ -733,8 +757,15 @@ def statements() -> dict[str, str]:
         "sink_gold_csv": "SELECT * FROM daily_consumption",
         "dq_strict": " UNION ALL ".join(f"SELECT layer, NOT passed AS raised, failures FROM ({dq_report(x)})" for x in ("bronze", "silver")),
         "gold_readiness": readiness_rows(),
-        "batch_rows": count_rows("dataset", {n: n for n in (*PROFILES, "ml_features") if n != "anomalies"}),
-        "catalog_rows": count_rows("table_name", CATALOG | {n: sql_name(n) for n in WAREHOUSE} | {"fact_predictions": "fact_predictions"}),
+        "batch_rows": count_rows(
+            "dataset", {n: n for n in (*PROFILES, "ml_features") if n != "anomalies"} | {"anomalies:robust_zscore": "anomalies"}
+        ),
+        "catalog_rows": count_rows(
+            "table_name",
+            CATALOG | {n: sql_name(n) for n in WAREHOUSE} | {"fact_predictions": "fact_predictions"}
+            | {f"{n}_anomalies:robust_zscore": "anomalies" for n in ("gold", "fact")},
+        ),
+        "catalog_columns": column_rows(),
         "fk_orphans": """SELECT f.meter_id AS value, count(*) AS rows FROM fact_daily_consumption f
           LEFT JOIN dim_meter d ON f.meter_id = d.meter_id WHERE d.meter_id IS NULL GROUP BY f.meter_id""",
         "rel_check": relationship_rows(),

@@ -47,7 +47,7 @@ class Workspace:
     def silver(self) -> DataFrame:
         return silver.to_silver(self.bronze, self.settings)
 
-    @property
+    @cached_property
     def shared(self) -> Workspace:
         other = Workspace(self.spark, self.folder, self.settings)
         other.silver = stored(self.silver, "silver")

@@ -6,7 +6,8 @@ event id, so that every cleaning rule has something to do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridloom.sources import schemas
@@ -100,6 +101,13 @@ def weather(events: DataFrame) -> DataFrame:
     return events.selectExpr(f"{_HOUR_START} AS at").distinct().selectExpr(*_typed(WEATHER_RULES, schemas.WEATHER))
 
 
+def deliveries(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The readings in two deliveries: what was superseded later on, then the last reading of every meter and time."""
+    newest = Window.partitionBy("meter_id", "timestamp").orderBy(F.desc("arrived_at"))
+    placed = readings(events).withColumn("_place", F.row_number().over(newest))
+    return tuple(placed.where(which).drop("arrived_at", "_place") for which in ("_place > 1", "_place = 1"))
+
+
 def feeds(spark: SparkSession, folder: str) -> Feeds:
     """The three feeds in their raw schemas."""
     events = table(spark, folder, "events")

@@ -31,12 +31,21 @@ def read_feeds(spark: SparkSession, folder: str) -> Feeds:
 def write_feeds(feeds: Feeds, folder: str) -> None:
     """The same feeds as headered CSV, keeping blanks around values as they are."""
     for name, df in feeds._asdict().items():
-        df.write.mode("overwrite").csv(
-            f"{folder}/{schemas.FEED_FILES[name]}",
-            header=True,
-            ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
+        _write_csv(df, f"{folder}/{schemas.FEED_FILES[name]}", "overwrite")
+
+
+def deliver(readings: DataFrame, folder: str) -> None:
+    """One more delivery of readings beside those already there, as files of their own that are later than theirs."""
+    _write_csv(readings, f"{folder}/{schemas.FEED_FILES['readings']}", "append")
+
+
+def _write_csv(df: DataFrame, path: str, mode: str) -> None:
+    df.write.mode(mode).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def file_arrival() -> Column:
+    """When the file that a row comes from was written: the arrival time of rows read straight from files."""
+    return F.col("_metadata.file_modification_time")
 
 
 def parsed(column: str) -> Column:
@@ -47,12 +56,14 @@ def parsed(column: str) -> Column:
 def to_bronze(readings: DataFrame, arrival: Column | None = None) -> DataFrame:
     """Typed readings stamped with arrival time, source and event date.
 
-    ``arrival`` is the time a row came in; without it the time of the run is used.
+    ``arrival`` is the time a row came in (``file_arrival()`` for a feed of files, so that a later file corrects an
+    earlier one); without it the time of the run is used.
     """
-    typed = readings.withColumn("timestamp", parsed("timestamp"))
+    # First, because columns about files are known only next to the scan.
+    arrived = readings.withColumn("ingestion_ts", F.current_timestamp() if arrival is None else arrival)
+    typed = arrived.withColumn("timestamp", parsed("timestamp"))
     return typed.withColumns(
         {
-            "ingestion_ts": F.current_timestamp() if arrival is None else arrival,
             "source_system": F.lit(SOURCE_SYSTEM),
             "event_date": F.to_date("timestamp"),
         }

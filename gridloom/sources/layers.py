@@ -1,12 +1,19 @@
-"""Reading and writing the bronze, silver and gold layers as parquet and CSV."""
+"""Reading and writing the bronze, silver and gold layers as parquet and CSV.
+
+Every data set is written beside its place first and takes it only when it is complete, so a job that fails on the way leaves
+readers the old version.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Reads of one meter skip files and row groups: a bloom filter beside the sorted columns' statistics.
+SKIPPING = {"parquet.bloom.filter.enabled#meter_id": "true", "parquet.bloom.filter.expected.ndv#meter_id": "100000"}
 # Data set names below each layer and the columns they are laid out by.
 READINGS, METERS, WEATHER = "energy_readings", "meter_info", "weather"
 GOLD_ORDER: Mapping[str, Sequence[str]] = {
@@ -27,6 +34,31 @@ GOLD_ORDER: Mapping[str, Sequence[str]] = {
 }
 
 
+def published(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` make a folder, then put it where ``path`` is; the old content goes last.
+
+    Two renames: at once on a file system, copies on an object store, where tables with a location per version
+    (``warehouse.load_table``) are the better way to publish.
+    """
+    jvm, name = spark.sparkContext._jvm, uuid.uuid4().hex
+    at = path.rstrip("/")
+    folder, _, last = at.rpartition("/")
+    place = {kind: jvm.org.apache.hadoop.fs.Path(f"{folder}/_{kind}-{last}-{name}") for kind in ("new", "old")}
+    target = jvm.org.apache.hadoop.fs.Path(at)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(place["new"].toString())
+    except BaseException:
+        files.delete(place["new"], True)
+        raise
+    if files.exists(target) and not files.rename(target, place["old"]):
+        raise OSError(f"cannot move {at} away")
+    if not files.rename(place["new"], target):
+        files.rename(place["old"], target)
+        raise OSError(f"cannot publish {at}")
+    files.delete(place["old"], True)
+
+
 def write_by_day(df: DataFrame, path: str, day: str) -> None:
     """One directory per day, in files of a sensible size.
 
@@ -34,11 +66,12 @@ def write_by_day(df: DataFrame, path: str, day: str) -> None:
     that holds most of the rows over several tasks.
     """
     balanced = df.hint("rebalance", F.col(day))
-    balanced.sortWithinPartitions(day, "meter_id").write.mode("overwrite").partitionBy(day).parquet(path)
+    laid_out = balanced.sortWithinPartitions(day, "meter_id").write.partitionBy(day).options(**SKIPPING)
+    published(df.sparkSession, path, laid_out.parquet)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    published(df.sparkSession, path, df.write.parquet)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -56,12 +89,13 @@ def write_gold(df: DataFrame, folder: str, name: str) -> DataFrame:
     """
     order = GOLD_ORDER.get(name, ())
     laid_out = df.sortWithinPartitions(*order) if order else df
-    laid_out.write.mode("overwrite").parquet(gold_path(folder, name))
-    saved = df.sparkSession.read.schema(df.schema).parquet(gold_path(folder, name))
-    saved.write.mode("overwrite").csv(gold_path(folder, name, "csv"), header=True)
+    spark, skipping = df.sparkSession, SKIPPING if "meter_id" in df.columns else {}
+    published(spark, gold_path(folder, name), laid_out.write.options(**skipping).parquet)
+    saved = spark.read.schema(df.schema).parquet(gold_path(folder, name))
+    published(spark, gold_path(folder, name, "csv"), lambda path: saved.write.csv(path, header=True))
     return saved
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """Small report rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    published(df.sparkSession, path, df.write.json)

@@ -1,12 +1,14 @@
 import os
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import shared
-from gridloom.operators import constraints, models
+from gridloom.operators import constraints, models, silver
 from gridloom.operators.quality import QualityError
 from gridloom.plans import batch
-from gridloom.sources import bundled, feeds, schemas
+from gridloom.sources import bundled, feeds, layers, schemas, warehouse
 from tests.conftest import SMALL
 
 
@@ -30,6 +32,92 @@ def test_csv_feeds_keep_schema_and_blanks(spark, base):
     assert feeds.to_bronze(raw.readings).where("timestamp IS NULL").count() == 5
 
 
+def test_a_later_file_corrects_an_earlier_one(spark, tmp_path):
+    """Two deliveries: the later one wins for its keys, also with smaller values and where its file sorts first."""
+    given = bundled.feeds(spark, SMALL)
+    usable = given.readings.where("meter_id LIKE 'MTR-___' AND timestamp != 'bad-ts' AND energy_consumption IS NOT NULL")
+    usable = usable.dropDuplicates(["meter_id", "timestamp"]).limit(40)
+    first = usable.withColumn("energy_consumption", F.lit(90.0))
+    again = usable.orderBy("meter_id", "timestamp").limit(15).withColumn("energy_consumption", F.lit(2.0))
+    feeds.write_feeds(given._replace(readings=first), f"{tmp_path}/raw")
+    feeds.deliver(again, f"{tmp_path}/raw")
+    raw = feeds.read_feeds(spark, f"{tmp_path}/raw").readings
+    bronze = feeds.to_bronze(raw, feeds.file_arrival())
+    assert bronze.count() == 55 and bronze.select("ingestion_ts").distinct().count() >= 2
+    kept = silver.latest_arrival(bronze).groupBy("energy_consumption").count().collect()
+    assert {r["energy_consumption"]: r["count"] for r in kept} == {2.0: 15, 90.0: 25}
+    layers.write_by_day(bronze, f"{tmp_path}/bronze", "event_date")  # the arrival is stored with the row
+    stored = silver.latest_arrival(layers.read(spark, f"{tmp_path}/bronze"))
+    assert stored.where("energy_consumption = 2").count() == 15
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    path = f"{tmp_path}/layer"
+    layers.write_dataset(spark.range(5), path)
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stopped"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        layers.write_dataset(broken, path)
+    assert layers.read(spark, path).count() == 5 and os.listdir(tmp_path) == ["layer"]
+    layers.write_dataset(spark.range(7), path)
+    assert layers.read(spark, path).count() == 7 and os.listdir(tmp_path) == ["layer"]
+
+
+def test_tables_keep_their_declared_types_and_old_versions(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS declared")
+    row = "DATE'2023-01-01' AS date_key, 'peak' AS tariff_period, {} AS total_consumption, 2.5D AS avg_consumption, 3L AS reading_count"
+    load = lambda value: warehouse.load_table(spark.range(1).selectExpr(*row.format(value).split(", ")), "declared", "fact_peak_offpeak", str(tmp_path))
+    load("12.34567D")
+    table = spark.table("declared.fact_peak_offpeak")
+    assert table.dtypes == [
+        ("date_key", "date"), ("tariff_period", "string"), ("total_consumption", "decimal(14,4)"),
+        ("avg_consumption", "decimal(12,4)"), ("reading_count", "int"),
+    ]
+    assert str(table.first()["total_consumption"]) == "12.3457"
+    for wrong in ("1e12D", "CAST(NULL AS DOUBLE)"):  # an overflow, a missing value
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|is NULL"):
+            load(wrong)
+    with pytest.raises(ValueError, match="lacks avg_consumption"):
+        warehouse.conformed(spark.range(1).selectExpr("1 AS total_consumption", "current_date() AS date_key", "'peak' AS tariff_period", "1 AS reading_count"), "fact_peak_offpeak")
+    with pytest.raises(Exception, match="too long"):
+        warehouse.load_table(spark.range(1).selectExpr(*row.format("1.0D").replace("peak", "p" * 17).split(", ")), "declared", "fact_peak_offpeak", str(tmp_path))
+    assert str(spark.table("declared.fact_peak_offpeak").first()["total_consumption"]) == "12.3457"
+    open_reader = spark.table("declared.fact_peak_offpeak")
+    load("7.0D")
+    assert str(spark.table("declared.fact_peak_offpeak").first()["total_consumption"]) == "7.0000"
+    assert str(open_reader.first()["total_consumption"]) in ("12.3457", "7.0000")  # whichever, but whole
+
+
+def test_old_versions_go_by_age(spark, tmp_path, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS declared")
+    df = spark.range(1).selectExpr("DATE'2023-01-01' AS date_key", "'peak' AS tariff_period", "1D AS total_consumption", "1D AS avg_consumption", "1 AS reading_count")
+    load = lambda: warehouse.load_table(df, "declared", "fact_peak_offpeak", str(tmp_path))
+    load()
+    load()
+    assert len(os.listdir(f"{tmp_path}/fact_peak_offpeak")) >= 2
+    monkeypatch.setattr(warehouse, "KEEP_SECONDS", -1)
+    load()
+    assert len([n for n in os.listdir(f"{tmp_path}/fact_peak_offpeak") if n.startswith("v")]) == 1
+
+
+def test_reads_of_one_meter_skip_row_groups(spark, tmp_path, workspace):
+    """Rows of a meter lie together, and its bloom filter rules out other row groups."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS declared")
+    warehouse.load_table(workspace.warehouse("fact_hourly_consumption"), "declared", "fact_hourly_consumption", str(tmp_path))
+    table = spark.table("declared.fact_hourly_consumption")
+    one = table.select("meter_id").first()["meter_id"]
+    assert 0 < table.where(F.col("meter_id") == one).count() < table.count()
+    files = [f"{d}/{n}" for d, _, names in os.walk(tmp_path) for n in names if n.endswith(".parquet")]
+    for file in files:
+        meta = pq.ParquetFile(file)
+        ids = meta.read(columns=["meter_id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+        place = meta.schema_arrow.names.index("meter_id")
+        statistics = meta.metadata.row_group(0).column(place).statistics
+        assert (statistics.min, statistics.max) == (ids[0], ids[-1])
+    plan = table.where(F.col("meter_id") == one)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(meter_id,{one})" in plan
+
+
 def test_unreadable_numbers_become_missing(spark, tmp_path):
     os.makedirs(tmp_path / "weather.csv")
     (tmp_path / "weather.csv" / "part.csv").write_text("timestamp,temperature,humidity,weather_condition\n2023-01-01 00:00:00,warm,40.5,Rain\n")

@@ -154,3 +154,21 @@ def test_profile_counts_surplus_rows(spark):
     assert rows["b"]["null_count"] == 3 and rows["a"]["null_count"] == 0
     assert (rows["a"]["row_count"], rows["a"]["duplicate_rows"], rows["b"]["data_type"]) == (4, 2, "string")
     assert profile.missing_datasets({"wide_fact": df}, ["wide_fact", "anomalies"]) == ["anomalies"]
+
+
+@pytest.mark.parametrize("digest", [profile.row_digest, lambda columns: F.lit(1), lambda columns: F.length(F.col("a"))])
+def test_repeated_rows_do_not_depend_on_digests(spark, digest):
+    rows = [("x", None, 1.0), ("x", None, 1.0), (None, "x", 1.0), ("yy", "z", None), ("yy", "z", None), ("yy", "z", None), ("w", "", 0.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c double")
+    assert profile.repeated_rows(df, digest).scalar is not None
+    assert profile.repeated_rows(df, digest).first()["duplicate_rows"] == 3
+    assert profile.repeated_rows(df.dropDuplicates(), digest).first()["duplicate_rows"] == 0
+
+
+def test_a_profile_moves_digests_only(spark):
+    wide = spark.range(2000).select("id", *(F.repeat(F.col("id").cast("string"), F.lit(20)).alias(f"c{k}") for k in range(6)))
+    keyed = wide.withColumn("_digest", profile.row_digest(wide.columns)).groupBy("_digest").count()
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    exchanged = next(line for line in plan.splitlines() if "HashAggregate" in line and "partial_count" in line)
+    assert "c0" not in exchanged
+    assert profile.profile(wide, "wide").where("row_count = 2000 AND duplicate_rows = 0 AND null_count = 0").count() == 7

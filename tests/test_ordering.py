@@ -43,3 +43,30 @@ def test_exact_median(spark, size):
     df = spark.createDataFrame(rows, "name string, v double")
     found = {r["name"]: r["m"] for r in exact_median(df, ["name"], "v", "m").collect()}
     assert found == pytest.approx({name: statistics.median(vs) for name, vs in values.items()})
+
+
+@pytest.mark.parametrize("splits", [16, 4096])
+def test_exact_median_of_large_groups_by_narrowing(spark, splits):
+    """Groups far beyond what a task may order: ties, one value, tiny and huge numbers, and a hot group."""
+    rng = random.Random(splits)
+    groups = {
+        "hot": [round(rng.gauss(3, 1), 2) for _ in range(900)],
+        "alike": [7.25] * 300,
+        "two": [1.0] * 50 + [2.0] * 50,
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-3, 3) for _ in range(61)],
+        "close": [1.0 + k * 2.0**-52 for k in range(40)],
+        "edge": [-1.7e308, 1.7e308] * 10,
+        "small": [5.0, 1.0, 9.0],
+        None: [float(k * k) for k in range(30)],
+    }
+    rows = [(name, v) for name, values in groups.items() for v in values] + [("hot", None), ("nothing", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, v double").repartition(3)
+    found = {r["name"]: r["m"] for r in exact_median(df, ["name"], "v", "m", largest=8, splits=splits).collect()}
+    assert found == {name: statistics.median(values) for name, values in groups.items()}
+
+
+def test_medians_neither_sort_ranges_nor_sample(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "name string, v double")
+    plan = exact_median(df, ["name"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" not in plan
