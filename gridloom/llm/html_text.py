@@ -68,7 +68,8 @@ LEVELS = 5
 SHORT = 25  # a shorter paragraph only counts if nothing else does
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# One attribute after another, or a quoted text without a name: what stands inside a value is never a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -132,7 +133,7 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self._break()
-            if tag != "br" and "p" in (self.tag[e] for e in self.open[-3:]):
+            if tag != "br":
                 self._end_of({"p"}, {"button", "td", "th", "li", "div", "section", "article", "blockquote"})
         if tag in CLOSES:
             self._end_of(*CLOSES[tag])
@@ -199,8 +200,8 @@ def _judged(attributes: str) -> tuple[bool, int, bool | None]:
             cut |= value.lower() in CUT_ROLES
         elif name == "style":
             cut |= "display:none" in value.replace(" ", "").lower()
-        else:
-            cut |= name == "hidden" or value.lower() == "true"
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            cut = True
     return cut, min(points, 25), bool(found & TALK) if found and not good else None
 
 

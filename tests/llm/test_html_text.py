@@ -2,6 +2,7 @@ import pytest
 
 from gridloom.llm import html_text
 from tests.conftest import SMALL
+from tests.llm.samples import prose
 
 LONG = "This sentence, written for a test, is long enough to read like prose, and has commas."
 
@@ -98,3 +99,21 @@ def test_boilerplate_is_cut_by_its_whole_name(name):
 def test_comments_longer_than_the_article_are_cut():
     page = f"<div><p>{LONG}</p></div><div class=comments><article><p>{LONG * 9}</p></article></div>"
     assert html_text.main_text(page) == LONG
+
+
+@pytest.mark.parametrize("name", ["class", "id", "role", "hidden", "aria-hidden", "style"])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_names_inside_other_values_are_no_attributes(name, quote):
+    """Words like names of attributes inside titles and captions cut nothing."""
+    other = "'" if quote == '"' else '"'
+    body = "".join(f"<p>{prose(k, 40)}, and so on.</p>" for k in range(3))
+    for value in (f"A {name} gem", f"x {name}=nav y", f"{name}={other}sidebar{other} z", f"the {name}: {name}=true display:none"):
+        plain = html_text.main_text(f"<body><nav>Menu</nav><div>{body}</div></body>")
+        for tag in (f"div title={quote}{value}{quote}", f"div class={quote}story{quote} data-caption={quote}{value}{quote}"):
+            assert html_text.main_text(f"<body><nav>Menu</nav><{tag}>{body}</div></body>") == plain != ""
+
+
+def test_a_paragraph_ends_at_a_block_however_deep_it_was_opened():
+    inside = "<b><i><u><em><span>"
+    text = html_text.main_text(f"<article><p>{prose(1, 30)}, {inside}deep words<div>{prose(2, 30)}, more.</div><p>{prose(3, 30)}, end.</p></article>")
+    assert prose(1, 30) in text and prose(2, 30) in text and prose(3, 30) in text

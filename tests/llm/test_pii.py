@@ -13,6 +13,16 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+
+
+def card(n, joint="", group=4):
+    """A number of n digits that passes Luhn, in groups."""
+    head = "".join(str((7 * k + n) % 10) for k in range(n - 1))
+    total = sum(2 * d - 9 * (2 * d > 9) if k % 2 == 0 else d for k, d in enumerate(map(int, reversed(head))))
+    digits = head + str(-total % 10)
+    return joint.join(digits[k : k + group] for k in range(0, n, group))
+
+
 TRICKY = [
     "mail a.b+c@x-y.co.uk, then a@b@c.de a@b.c_x@d.e. end", "@x.y a@.b a@b. a@b.c.. b@c..d", "x@y.z" * 40, "é a@b.cd 😀 q@r.st",
     "1.2.3.4.5.6.7.8.9 300.1.1.1 0255.1.1.001 1.2.3 256.0.0.1 1.2.3.4567", "999.1.2.3 9.9.9.9.", "00000000000255.0.0.0",
@@ -20,6 +30,7 @@ TRICKY = [
     "6011000990139424 6011000990139425 3530 1113 3330 0000 0", "0000000000000000 0000-0000-0000-0000-000",
     "+1 (456) 555-2186 +49.30.1234567, +1 +12 +1234567 ++123456789 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 +44()()-", "+(123) +9((((((((((",
     "call +1 (968) 555-9369 or 17.252.227.210 or x@y.zz", "a" * 5000 + "@b.c", "9" * 5000, "1." * 3000, "x@y" + ".z" * 3000,
+    "; ".join(f"card {card(n, j)} of {n}" for n in (15, 16, 17, 18, 19, 20) for j in ("", " ", "-")), f"{card(16)}\n{card(19, ' ')}\t{card(17, '-')}",
 ]
 
 
