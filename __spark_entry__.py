@@ -266,9 +266,9 @@ def _batch_at(application: str, folder: str) -> _Batch:
         names = [n.split(".")[-1] for n in (*summary["catalog"], *summary["warehouse"])]
         tables = [_counted(spark.table(f"{database}.{n}"), n) for n in names]
         columns = [
-            (table, place, column.name, column.dataType)
+            (table, place, column["col_name"], column["data_type"])
             for table in sorted(warehouse.DECLARED)
-            for place, column in enumerate(spark.catalog.listColumns(f"{database}.{table}"))
+            for place, column in enumerate(spark.sql(f"DESCRIBE {database}.{table}").collect())
         ]
     finally:
         spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
