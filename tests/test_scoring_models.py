@@ -130,3 +130,15 @@ def test_requests_work_with_a_fitted_model(spark, training, table):
     rows = request_rows(spark, [("2024-07-01 10:00:00", known, 10.0, 50.0, None)])
     answer = scoring.predict_requests(rows, table, training.best)[0].first()
     assert answer["predicted_consumption"] is not None and answer["model_name"] == training.best.name
+
+
+def test_absent_feature_columns_count_zero(spark, workspace):
+    """A model scores rows that lack a number as if it were 0.0, and rows that lack a category as of no known level."""
+    rows = features.model_rows(workspace.feature_table)
+    best = models.train(workspace.feature_table, names=("LinearRegression",)).best
+    zeroed = rows.withColumn("humidity", F.lit(0.0)).withColumn("region", F.lit("nowhere"))
+    def made(df):
+        scored = best.transform(df).select("timestamp", "meter_id", F.round("prediction", 6).alias("p"))
+        return sorted(map(tuple, scored.collect()))
+
+    assert made(rows.drop("humidity", "region")) == made(zeroed) != made(rows)
