@@ -1,6 +1,8 @@
 import datetime as dt
+import threading
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from gridloom.operators import features, models, scoring
@@ -51,6 +53,26 @@ def test_training_compares_three_and_picks_the_lowest_rmse(training, table):
     assert rows[0]["train_rows"] == int((rows[0]["train_rows"] + rows[0]["test_rows"]) * 0.8)
 
 
+def test_candidates_are_fitted_side_by_side(table, monkeypatch):
+    """Every fit waits for the other two, so fitting one after another would never end."""
+    together, fit, names = threading.Barrier(3), Pipeline.fit, []
+
+    def waiting(pipeline, rows, params=None):
+        if len(pipeline.getStages()) < 3:  # not the encoding
+            together.wait(timeout=60)
+            names.append(type(pipeline.getStages()[-1]).__name__)
+        return fit(pipeline, rows, params)
+
+    monkeypatch.setattr(Pipeline, "fit", waiting)
+    made = models.train(table, sizes=SIZES)
+    assert sorted(names) == ["GBTRegressor", "LinearRegression", "RandomForestRegressor"]
+    assert [r["model_name"] for r in made.metrics.collect()] == ["LinearRegression", "RandomForest", "GradientBoosting"]
+
+
+def test_the_forest_keeps_the_nodes_of_rows():
+    assert models.candidates()["RandomForest"].getStages()[0].getCacheNodeIds()
+
+
 def test_saved_model_answers_like_the_fitted_one(spark, training, table, tmp_path):
     folder = str(tmp_path / "models")
     models.save(training, folder)
