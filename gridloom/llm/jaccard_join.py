@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
-from gridloom.llm.common import documents, table
+from gridloom.llm.common import documents, freeing, released, table
 from gridloom.llm.components import components
 from gridloom.llm.word_encoder import slices
 
@@ -242,11 +242,11 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # About one shingle to seven bytes; rows of the count grow with the text, also where chunks are very many.
     buckets = max(1, min(parts, CHUNK_BYTES // 7 // CELL))
     sent = chunks.groupBy("part").applyInArrow(
-        lambda t: _sent(t, words, buckets), "bucket int, part int, tokens binary"
+        lambda t: released(_sent(t, words, buckets)), "bucket int, part int, tokens binary"
     )
-    answers = sent.groupBy("bucket").applyInArrow(_counted, "bucket int, part int, counts binary")
+    answers = sent.groupBy("bucket").applyInArrow(lambda t: released(_counted(t)), "bucket int, part int, counts binary")
     both = chunks.groupBy("part").cogroup(answers.groupBy("part"))
-    found = both.applyInArrow(lambda left, right: _posted(left, right, words, percent), ROWS)
+    found = both.applyInArrow(lambda left, right: released(_posted(left, right, words, percent)), ROWS)
     path_kept = stored(found, "jaccard")
     return path_kept
 
@@ -254,6 +254,7 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough."""
 
+    @freeing
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("a"), batch.column("b")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
-from gridloom.llm.common import documents, table
+from gridloom.llm.common import documents, freeing, table
 from gridloom.llm.word_encoder import default_tokenizer, encoder
 
 LENGTH = 4096
@@ -226,6 +226,7 @@ def pack(
     earlier = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("task", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
+    @freeing
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sequence, slot = _placed(frame["class"].to_numpy(), frame["rank"].to_numpy(), made)

@@ -26,7 +26,6 @@ doc_ids: one document, never compared with itself. Texts shorter than the span s
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, table
+from gridloom.llm.common import documents, released, table
 
 SPAN = 50
 GRAM = 26
@@ -50,7 +49,6 @@ CUT = 16  # low bits of an anchor left out while counting
 CELL = 16  # anchors that a row of the count should hold at least
 NOBODY = (1 << 63) - 1  # place of a null doc_id
 U64 = np.uint64
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what was freed unless told otherwise
 EMPTY = hashlib.sha256(b"").hexdigest()
 TEXTS = "part int, digest binary, text binary, first long"
 CELLS = "bucket int, part int, anchors binary, times binary"
@@ -411,14 +409,6 @@ def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _table(rows, TEXTS).to_batches()
 
 
-def _released(made: pa.Table) -> pa.Table:
-    """The same; memory freed on the way goes back to the system, as a worker lives on with other tasks beside it."""
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-    return made
-
-
 def _digest() -> F.Column:
     return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
 
@@ -437,20 +427,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
     chunks = keyed.mapInArrow(_once_a_task, TEXTS).repartition(parts, "part")
 
     def send(rows: pa.Table) -> pa.Table:
-        return _released(_sent(Chunk(rows, span, gram), rows.column("part")[0].as_py(), counting))
+        return released(_sent(Chunk(rows, span, gram), rows.column("part")[0].as_py(), counting))
 
     def offer(rows: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(rows, span, gram)
-        return _released(_offered(chunk.fragments(answers), rows.column("part")[0].as_py(), sorting))
+        return released(_offered(chunk.fragments(answers), rows.column("part")[0].as_py(), sorting))
 
     def remove(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows, span, gram)
         answer = np.array(told.column("bucket").to_numpy() >= 0, bool)
-        return _released(_removed(chunk, chunk.fragments(told.filter(pa.array(answer))), told.filter(pa.array(~answer))))
+        return released(_removed(chunk, chunk.fragments(told.filter(pa.array(answer))), told.filter(pa.array(~answer))))
 
-    answers = chunks.groupBy("part").applyInArrow(send, CELLS).groupBy("bucket").applyInArrow(lambda cells: _released(_answered(cells)), ANSWERS)
+    answers = chunks.groupBy("part").applyInArrow(send, CELLS).groupBy("bucket").applyInArrow(lambda cells: released(_answered(cells)), ANSWERS)
     offered = chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(offer, FRAGMENTS)
-    found = offered.groupBy("bucket").applyInArrow(lambda rows: _released(_sorted(rows, span)), ANSWERS)
+    found = offered.groupBy("bucket").applyInArrow(lambda rows: released(_sorted(rows, span)), ANSWERS)
     return chunks.groupBy("part").cogroup(answers.union(found).groupBy("part")).applyInArrow(remove, RESULTS)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.shared import stored
-from gridloom.llm.common import documents, table
+from gridloom.llm.common import documents, freeing, table
 from gridloom.llm.word_encoder import slices
 
 SAMPLE = 40_000  # labelled documents that lexicon and classifier learn from, at most about
@@ -126,6 +126,7 @@ def held_out(key):
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
+    @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
@@ -177,6 +178,7 @@ def _vote_counts(docs: DataFrame, places: dict[str, int]) -> list:
     """How many documents of the whole table show each pattern of votes."""
     lists = np.array([term_list(t) for t in places], np.int64)
 
+    @freeing
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_votes(lists, *hits) for hits in _per_document(batch.column(0), places)]
@@ -262,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
     places = lexicon(rows, support)
     lists = np.array([term_list(t) for t in places], np.int64)
 
+    @freeing
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_per_document(batch.column(0), places))
@@ -313,6 +316,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row."""
 
+    @freeing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = pa.array(scores(batch.column(1), model))
@@ -332,6 +336,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The rows not predicted toxic, with all their columns; they are filtered where they are."""
     model = train(docs, labels)
 
+    @freeing
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.coalesce(batch.column("text"), pa.scalar("", batch.column("text").type))

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gridloom.llm.common import give_back
+
 SLICE_BYTES = 4 << 20  # text encoded at a time: bounds the memory of a task
 REMEMBERED_BYTES = 48 << 20  # words and their ids that a worker keeps between slices; others are encoded again
 JOINED = 2_000  # new words in one call of the library
@@ -138,7 +140,7 @@ class WordEncoder:
         for first, part in slices(texts, SLICE_BYTES):
             ids, offsets = self._encode(part)
             yield first, ids, offsets
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

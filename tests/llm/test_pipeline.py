@@ -1,10 +1,11 @@
 import zlib
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registry
 import corpus_pipeline
-from gridloom.llm import packing
+from gridloom.llm import common, packing
 from tests.conftest import SMALL
 from tests.llm.samples import SCHEMA, frame, prose
 from tests.llm.test_jaccard_join import brute
@@ -30,6 +31,15 @@ def folder(spark, tmp_path_factory):
     return at, rows
 
 
+def test_workers_give_freed_memory_back(monkeypatch):
+    """At the end of a task's batches, behind a group, and behind each batch of encoded texts."""
+    given = []
+    monkeypatch.setattr(common, "_trim", given.append)
+    assert list(common.freeing(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and given == [0]
+    assert common.released(made := pa.table({"a": [1]})) is made and given == [0, 0]
+    assert list(packing.encoder(packing.default_tokenizer()).encode(pa.array(["some words"]))) and given == [0, 0, 0]
+
+
 def test_stages_decide_as_their_operators(spark, folder, tmp_path):
     at, rows = folder
     docs, kept = spark.read.parquet(f"{at}/documents.parquet"), {}
